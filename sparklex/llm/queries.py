@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklex.llm import language_id
+from sparklex.llm import language_id, near_dup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs).select("doc_id", "language.*")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op4_near_duplicates": op4_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
