@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklex.llm import language_id, shared
+from sparklex.llm import decontam, language_id, line_dedup, near_dup, packing, shared
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,36 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return judged.where(F.col("__language.accepted")).drop("__language")
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first occurrence of every line; a document left without text goes."""
+    cut = line_dedup.dedup_lines(docs, n_lines="__lines", n_dropped="__dropped")
+    left = cut.where("__dropped = 0 or trim(replace(text, '\n', '')) != ''")
+    return left.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    return docs.join(near_dup.near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = decontam.contaminated(docs, benchmark).select("doc_id").distinct()
+    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into windows of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("language_id", keep_known_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_windows),
 ]
 
 #: Clustering, sketches and differencing are beyond SQL; tests/llm holds each stage
