@@ -371,11 +371,14 @@ class LineIndex:
         return joined.select(*[docs[c] for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with all but the first occurrence of every line dropped; adds n_lines and n_dropped."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", **options) -> DataFrame:
+    """docs with all but the first occurrence of every line dropped; adds n_lines and n_dropped.
+
+    ``options`` go to LineIndex.  Columns of docs with the added names are replaced.
+    """
     index = LineIndex(docs.sparkSession, **options)
     index.insert(docs, doc_id, text)
-    return index.apply(docs, doc_id, text)
+    return index.apply(docs, doc_id, text, n_lines, n_dropped)
 
 
 #: DuckDB; the same rows as op2 over whole tables.
