@@ -8,13 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklex.llm import decontam, language_id, line_dedup, near_dup, packing
+from sparklex.llm import chat, decontam, language_id, licenses, line_dedup, near_dup, packing, shared, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.fresh_path(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_store.read_tokens(spark, path)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -37,12 +43,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op1_token_store": op1_token_store,
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op10_chat_format": chat.ORACLE}
