@@ -37,6 +37,11 @@ from sparklex.llm.shared import stored
 from sparklex.llm.text import binary_array, mix64, shingles, word_hashes
 
 
+#: Up to so many linked documents (two longs each) the list is broadcast, so that only
+#: their texts are shuffled; a longer list is joined by shuffling both sides.
+BROADCAST_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class SetSketch:
     """m registers in 0..2^16-1 for base b and rate a, grouped in bands of ``rows``."""
@@ -255,9 +260,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = members.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("doc_id"))
     gathered = met.join(reps, "doc_id").select("bucket", "doc_id", "n", "registers").repartition("bucket").sortWithinPartitions("bucket")
     links = gathered.mapInArrow(_linker(sketch, threshold - slack), "a bigint, b bigint")
-    clusters = connected_components(links).withColumnsRenamed({"node": "doc_id"})
+    clusters = stored(connected_components(links).withColumnsRenamed({"node": "doc_id"}), "clusters")
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    if clusters.count() <= BROADCAST_ROWS:
+        clusters = F.broadcast(clusters)
     texts = own.join(clusters, "doc_id").select("component", "doc_id", "text").repartition("component").sortWithinPartitions("component", "doc_id")
     confirmed = texts.mapInArrow(_verifier(k, threshold), "rep bigint, root bigint")
     # Ids with several texts can join groups that were confirmed apart.
