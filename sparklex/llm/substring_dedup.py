@@ -88,19 +88,20 @@ def _locate(min_words: int, width: int):
         empty = np.concatenate([np.zeros((n, 1), np.int32), np.cumsum(codes == 0, axis=1, dtype=np.int32)], axis=1)
         lo = np.full(n, windows, np.int64)
         hi = np.full(n, -1, np.int64)
-        step = powers(min_words)
+        # windows are only compared at the same place of a stretch, so sums need no common scale
+        sums = np.zeros((n, width + 1), np.uint64)
+        np.cumsum(wide * powers(width), axis=1, out=sums[:, 1:])
         rows = np.arange(n)
         for s in range(windows):
             whole = rows[empty[:, s + min_words] == empty[:, s]]
             if not len(whole):
                 continue
-            key = mix64(wide[whole, s : s + min_words] @ step + a[whole])
-            order = np.lexsort((ids[whole], key))
-            key, who, at = key[order], ids[whole][order], whole[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            group = np.cumsum(first) - 1
-            least, most = who[first], who[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(who) - 1]])]
-            shared = at[(least != most)[group]]
+            key = mix64(sums[whole, s + min_words] - sums[whole, s] + a[whole])
+            order = np.argsort(key)
+            key, at = key[order], whole[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            several = np.minimum.reduceat(ids[at], first) != np.maximum.reduceat(ids[at], first)
+            shared = at[np.repeat(several, np.diff(first, append=len(at)))]
             lo[shared] = np.minimum(lo[shared], s)
             hi[shared] = s
         found = np.flatnonzero(hi >= 0)
@@ -116,13 +117,16 @@ def _locate(min_words: int, width: int):
         automaton.make_automaton()
         out = []
         for i in found.tolist():  # a stretch without a confirmed window can't hold a passage
-            hits = sorted((last + 1 - length, last + 1) for last, length in automaton.iter(tuple(codes[i].tolist())))
-            own: list[list[int]] = []
-            for begin, end in hits:
-                if own and begin <= own[-1][1]:
-                    own[-1][1] = max(end, own[-1][1])
-                else:
-                    own.append([begin, end])
+            own: list[tuple[int, int]] = []
+            end = 0
+            for last, length in automaton.iter(tuple(codes[i].tolist())):
+                if last < end:  # shorter than the one before, with the same end
+                    continue
+                end = last + 1
+                begin = end - length
+                while own and begin <= own[-1][1]:
+                    begin = min(begin, own.pop()[0])
+                own.append((begin, end))
             out += [(ids[i], starts[i] + begin, starts[i] + end) for begin, end in own]
         cols = np.array(out, np.int64).reshape(-1, 3).T
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "a", "b"])
