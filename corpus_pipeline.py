@@ -20,8 +20,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first occurrence of every line; a document left without text goes."""
-    cut = line_dedup.dedup_lines(docs, n_lines="__lines", n_dropped="__dropped")
+    """Keeps the first occurrence of every line, however short, that isn't blank; a document left without text goes."""
+    cut = line_dedup.dedup_lines(docs, n_lines="__lines", n_dropped="__dropped", min_chars=1, white=False)
     left = cut.where("__dropped = 0 or trim(replace(text, '\n', '')) != ''")
     return left.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

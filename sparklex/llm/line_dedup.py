@@ -13,7 +13,8 @@ documents lowers the counts, takes lines that reach zero out of the filters, and
 gives the lines that those documents owned to the next document that has them.
 
 A line is keyed by 96 bits of hash of its text without surrounding blanks.  Lines
-shorter than ``min_chars`` then are never dropped.  The earliest (batch, doc_id,
+shorter than ``min_chars`` then are never dropped, nor, unless ``white``, lines of
+nothing but white space (also of tabs or a carriage return).  The earliest (batch, doc_id,
 position) owns a line; every other occurrence is dropped.
 
 Defined results: rows with a null id or null text pass unchanged; repeated rows
@@ -262,8 +263,8 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineIndex:
     """Incremental, reversible line dedup; ``path`` is a folder that executors share."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None, min_chars: int = 20):
-        self.spark, self.path, self.shards, self.min_chars = spark, path or fresh_path(spark, "line-index"), shards, min_chars
+    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None, min_chars: int = 20, white: bool = True):
+        self.spark, self.path, self.shards, self.min_chars, self.white = spark, path or fresh_path(spark, "line-index"), shards, min_chars, white
         self.batches: list[int] = []
         self.deletions = False
 
@@ -274,6 +275,8 @@ class LineIndex:
             self.shards = max(1, -(-total // SHARD_BYTES))
         lines = own.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         lines = lines.withColumn("line", F.trim("line")).where(F.length("line") >= self.min_chars)
+        if not self.white:
+            lines = lines.where(F.col("line").rlike(r"(?U)\S"))
         return lines.select(F.pmod(F.xxhash64("line"), F.lit(self.shards)).cast("int").alias("shard"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "doc_id", "th", "pos")
 
     def _kind(self, kind: str) -> DataFrame:

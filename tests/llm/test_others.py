@@ -88,3 +88,11 @@ def test_pipeline_stages(spark, corpus):
     empty = spark.read.parquet(f"{corpus}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, corpus).count() == 0
+
+
+def test_pipeline_drops_short_lines(spark):
+    rows = [(1, "Read more\n\t\r\n\n}\nfirst"), (2, "second\n \n\t\r\n\n Read more "), (3, "Les.\nLes.\nthird"), (4, "Les."), (5, "\n\t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    want = {1: rows[0][1], 2: "second\n \n\t\r\n", 3: "Les.\nthird", 5: "\n\t"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
