@@ -52,6 +52,28 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
         ("Permission to use, copy, modify, and/or distribute", "with or without fee is hereby granted"),
     ),
+    "All-rights-reserved": ("All rights reserved.", ("All rights reserved",)),
+    "LGPL-notice": ("GNU Lesser General Public License", ("GNU Lesser General Public License",)),
+    "LGPL-2.0-notice": ("GNU Library General Public License", ("GNU Library General Public License",)),
+    "AGPL-notice": ("GNU Affero General Public License", ("GNU Affero General Public License",)),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    "EPL-notice": ("Eclipse Public License", ("Eclipse Public License",)),
+    "CC0-notice": ("Released under CC0 1.0", ("under CC0",)),
+    "CC0": ("CC0 1.0 Universal", ("CC0 1",)),
+    "CC0-long": ("Creative Commons Zero", ("Creative Commons Zero",)),
+    "CC-BY-SA-notice": ("Licensed under CC BY-SA 4.0", ("under CC BY-SA",)),
+    "CC-BY-ND-notice": ("Licensed under CC BY-ND 4.0", ("under CC BY-ND",)),
+    "CC-BY-NC-SA-notice": ("Licensed under CC BY-NC-SA 4.0", ("under CC BY-NC-SA",)),
+    "CC-BY-NC-ND-notice": ("Licensed under CC BY-NC-ND 4.0", ("under CC BY-NC-ND",)),
+    **{f"CC-BY-{v}-notice": (f"Licensed under CC BY {v}", (f"under CC BY {v}",)) for v in ("1.0", "2.0", "2.5", "3.0")},
+    **{f"CC-BY-{v}-long": (f"Creative Commons Attribution {v}", (f"Creative Commons Attribution {v}",)) for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
+    "CC-BY-SA-long": ("Creative Commons Attribution-ShareAlike", ("Creative Commons Attribution-ShareAlike",)),
+    "CC-BY-SA-spaced": ("Creative Commons Attribution-Share Alike", ("Creative Commons Attribution-Share Alike",)),
+    "CC-BY-ND-long": ("Creative Commons Attribution-NoDerivatives", ("Creative Commons Attribution-NoDerivatives",)),
+    "CC-BY-NC-long": ("Creative Commons Attribution-NonCommercial", ("Creative Commons Attribution-NonCommercial",)),
 }
 
 
@@ -119,7 +141,7 @@ class Index:
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, tuple[str, ...]]] | None = None, rare: int = 3, slack: int = 4) -> DataFrame:
-    """(doc_id, license, first_word): every licence notice in every document.
+    """(doc_id, license, first_word): every notice of ``templates`` in every document.
 
     ``first_word`` is the least word offset of the notice at which all phrases stand
     within ``slack`` words of their places; it can be below 0 by as much.

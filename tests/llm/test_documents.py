@@ -347,6 +347,37 @@ def test_licences(spark, odd):
     assert licenses.scan_licenses(odd, templates={}).count() == 0
 
 
+def test_common_notices(spark):
+    """Notices as they are found in the wild, not made from TEMPLATES."""
+    notices = [
+        ("Copyright (c) 2019 Someone. ALL RIGHTS RESERVED", {"All-rights-reserved"}),
+        ("it under the terms of the GNU Lesser General Public License as published by", {"LGPL-notice"}),
+        ("under the terms of the GNU Library General Public License, version 2", {"LGPL-2.0-notice"}),
+        ("You should have received a copy of the GNU Affero General Public License along with it", {"AGPL-notice"}),
+        ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+        ("made available under the terms of the Eclipse Public License v2.0", {"EPL-notice"}),
+        ("Data is dedicated under CC0 by its authors", {"CC0-notice"}),
+        ("CC0 1.0 Universal (CC0 1.0) Public Domain Dedication", {"CC0"}),
+        ("a Creative Commons Zero dedication", {"CC0-long"}),
+        ("Text is available under CC BY-SA 3.0", {"CC-BY-SA-notice"}),
+        ("Shared under CC-BY-ND-4.0", {"CC-BY-ND-notice"}),
+        ("Shared under CC BY-NC-SA 4.0", {"CC-BY-NC-notice", "CC-BY-NC-SA-notice"}),
+        ("Shared under CC BY-NC-ND 2.0", {"CC-BY-NC-notice", "CC-BY-NC-ND-notice"}),
+        ("Images are under CC BY 3.0", {"CC-BY-3.0-notice"}),
+        ("Images are under CC BY 2.5", {"CC-BY-2.5-notice"}),
+        ("a Creative Commons Attribution 4.0 International License", {"CC-BY-4.0-long"}),
+        ("the Creative Commons Attribution-ShareAlike 4.0 licence", {"CC-BY-SA-long"}),
+        ("the Creative Commons Attribution-Share Alike 3.0 licence", {"CC-BY-SA-spaced"}),
+        ("the Creative Commons Attribution-NonCommercial 4.0 licence", {"CC-BY-NC-long"}),
+        ("the Creative Commons Attribution-NoDerivatives 4.0 licence", {"CC-BY-ND-long"}),
+        ("all of the rights are reserved under a public license by 4 lawyers", set()),
+    ]
+    got = {}
+    for i, name in pairs(licenses.scan_licenses(frame(spark, [(i, f"words before.\n{t}\nand after") for i, (t, _) in enumerate(notices)])), "doc_id", "license"):
+        got.setdefault(i, set()).add(name)
+    assert [got.get(i, set()) for i in range(len(notices))] == [want for _, want in notices]
+
+
 def test_word_hashes_equal_words():
     from sparklex.llm.text import word_hashes
 
