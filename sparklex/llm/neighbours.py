@@ -1,16 +1,16 @@
-"""Approximate nearest neighbours by shifted space-filling curves.
+"""Nearest neighbours over blocks of a shifted space-filling curve.
 
-Unit vectors are projected by random rotations to a few dimensions, shifted, and
-ordered along a Hilbert curve; Spark range-partitions and sorts each ordering.  Rows
-near one another on a curve are candidates: every row is compared, by exact cosine,
-with all rows within a window of ranks on every curve, and the best k of the merged
-windows are kept.
+Unit vectors are projected by a random rotation to a few dimensions, shifted, and
+ordered along a Hilbert curve, which Spark range-partitions and sorts.  Blocks of rows
+that follow one another on the curve are compared, by exact cosine, and the best k of
+every row are kept.
 
-How wide a window must be depends on the data, so it is measured: for a sample of
-rows the true neighbours are found by brute force over the whole table, and the
-number of curves and the window are the cheapest that give ``target`` recall on that
-sample.  Where the data have no low-dimensional structure the windows grow until they
-cover the table, and the method honestly becomes a blocked brute force.
+Which blocks a block meets follows from all of its rows, without a sample: a block has
+a centre and a radius, and the k-th best similarity of each row among its own block
+bounds how far a better neighbour can be.  A block is skipped only if the triangle
+inequality of angles proves that none of its rows can be one, so the result is exact.
+Where the data have no low-dimensional structure nothing can be skipped, and the method
+honestly becomes a blocked brute force.
 
 Defined results: null ids, null, empty, zero and non-finite vectors, and vectors of
 another length than the table's most common one, neither get nor are neighbours; rows
@@ -32,6 +32,8 @@ from sparklex.llm.shared import stored
 
 DIMS, BITS = 6, 10
 BLOCK = 2048
+#: radians for the rounding of float32 vectors and of similarities to six decimals
+SLACK = 5e-3
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -144,70 +146,35 @@ def _ranked(vectors: DataFrame, dims: int, curve: int) -> DataFrame:
     return placed.select(F.lit(curve).alias("curve"), (F.col("at") + base).cast("bigint").alias("rank"), "vec_id", "v")
 
 
-def _truth(vectors: DataFrame, sample: list, dims: int, k: int) -> dict[int, set[int]]:
-    """True neighbours of the sampled rows, by brute force over the whole table."""
-    queries = np.stack([np.frombuffer(r["v"], np.float32) for r in sample])
-    own = np.array([r["vec_id"] for r in sample], np.int64)
+def _ball(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A unit vector amid unit rows, and each row's angle to it."""
+    x = v.astype(np.float64)
+    centre = x.mean(0)
+    if np.linalg.norm(centre) < 1e-6:
+        centre = x[0]
+    centre = centre / np.linalg.norm(centre)
+    return centre, np.arccos(np.clip(x @ centre, -1, 1))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = None
-        for b in batches:
-            if b.num_rows:
-                top = _merge(top, _top(queries @ _matrix(b.column(1), dims).T, b.column(0).to_numpy(zero_copy_only=False), own, k), k)
-        if top is not None:
-            n = top[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), n)), pa.array(top[1].ravel()), pa.array(top[0].ravel().astype(np.float64))], ["q", "vec_id", "s"])
-
-    rows = vectors.select("vec_id", "v").mapInArrow(best, "q bigint, vec_id bigint, s double").where(F.col("s") > float("-inf")).distinct()
-    w = Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")
-    out: dict[int, set[int]] = {}
-    for r in rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).collect():
-        out.setdefault(int(own[r["q"]]), set()).add(r["vec_id"])
-    return out
-
-
-def nearest_neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, curves: int = 8, target: float = 0.95, sample: int = 256) -> DataFrame:
-    """(vec_id, rank, neighbour, similarity): about the k nearest of every row by cosine.
 
-    ``target`` is the recall that windows are widened to on ``sample`` rows; the sample
-    only sets the window, every row is a query and a candidate.
-    """
+def nearest_neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10) -> DataFrame:
+    """(vec_id, rank, neighbour, similarity): the k nearest of every row by cosine."""
     vectors, dims = unit_vectors(table, vec_id, embedding)
     vectors = stored(vectors, "unit-vectors")
-    spark = table.sparkSession
-    chosen = vectors.orderBy(F.xxhash64("vec_id", "v")).limit(sample).collect()
-    schema = "vec_id bigint, rank int, neighbour bigint, similarity double"
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    n = vectors.count()
-    truth = _truth(vectors, chosen, dims, k)
-    wanted = spark.createDataFrame([(i,) for i in {*truth, *(x for v in truth.values() for x in v)}] or [(0,)], "vec_id bigint")
-    orders = [_ranked(vectors, dims, c) for c in range(curves)]
-    ranks: list[dict[int, list[int]]] = []
-    for order in orders:
-        own: dict[int, list[int]] = {}
-        for r in order.select("vec_id", "rank").join(F.broadcast(wanted), "vec_id").collect():
-            own.setdefault(r["vec_id"], []).append(r["rank"])
-        ranks.append(own)
-    gaps = np.array([[min(abs(a - b) for a in own[i] for b in own[j]) for own in ranks] for i, js in truth.items() for j in js], np.int64).reshape(-1, curves)
-    used, window = 1, n
-    if len(gaps):
-        for c in range(1, curves + 1):
-            least = np.sort(gaps[:, :c].min(1))
-            need = int(least[int(np.ceil(target * len(least))) - 1])
-            if c * min(n, 2 * need + BLOCK) < used * min(n, 2 * window + BLOCK):
-                used, window = c, need
-    reach = -(-min(window, n) // BLOCK)
-    last = (n - 1) // BLOCK
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                block = b.column(1).to_numpy(zero_copy_only=False) // BLOCK
+                block = b.column(0).to_numpy(zero_copy_only=False) // BLOCK
                 cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
                 for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    ids = b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_pydict({"curve": [b.column(0)[0].as_py()], "block": [int(block[lo])], "ids": [ids.astype(np.int64).tobytes()], "v": [b"".join(b.column(3).slice(lo, hi - lo).to_pylist())]}, schema=pa.schema([("curve", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("v", pa.binary())]))
+                    ids = b.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64)
+                    v = b"".join(b.column(2).slice(lo, hi - lo).to_pylist())
+                    x = np.frombuffer(v, np.float32).reshape(-1, dims)
+                    centre, angles = _ball(x)
+                    best = _top(x @ x.T, ids, ids, k)[0]
+                    # the k-th best of its own block bounds how far each row has to look
+                    far = np.arccos(np.clip(best[:, k - 1], -1, 1)) if best.shape[1] == k else np.pi
+                    yield pa.RecordBatch.from_pydict({"block": [int(block[lo])], "centre": [centre.tobytes()], "radius": [float(angles.max())], "reach": [float((angles + far).max())], "ids": [ids.tobytes()], "v": [v]}, schema=pa.schema([("block", pa.int64()), ("centre", pa.binary()), ("radius", pa.float64()), ("reach", pa.float64()), ("ids", pa.binary()), ("v", pa.binary())]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per target block, its own rows come first."""
@@ -220,11 +187,11 @@ def nearest_neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(best[1].ravel()), pa.array(best[0].ravel().astype(np.float64))], ["vec_id", "neighbour", "similarity"])
 
         for b in batches:
-            for curve, target_block, source, ids, v in zip(*(c.to_pylist() for c in b.columns)):
+            for target_block, source, ids, v in zip(*(c.to_pylist() for c in b.columns)):
                 ids, v = np.frombuffer(ids, np.int64), np.frombuffer(v, np.float32).reshape(-1, dims)
-                if at != (curve, target_block):
+                if at != target_block:
                     yield from done()
-                    at, mine, top = (curve, target_block), [], []
+                    at, mine, top = target_block, [], []
                 if source == -1:
                     mine.append((ids, v))
                     top.append(None)
@@ -233,14 +200,25 @@ def nearest_neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str
                         top[i] = _merge(top[i], _top(own @ v.T, ids, own_ids, k), k)
         yield from done()
 
-    everything = orders[0]
-    for order in orders[1:used]:
-        everything = everything.unionByName(order)
-    blocks = everything.mapInArrow(packed, "curve int, block bigint, ids binary, v binary")
-    own = blocks.select("curve", F.col("block").alias("target"), F.lit(-1).cast("bigint").alias("source"), "ids", "v")
-    around = F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.lit(last), F.col("block") + reach))
-    others = blocks.select("curve", F.explode(around).alias("target"), F.col("block").alias("source"), "ids", "v")
-    met = own.unionByName(others).repartition("curve", "target").sortWithinPartitions("curve", "target", "source")
+    ranked = _ranked(vectors, dims, 0).select("rank", "vec_id", "v")
+    blocks = stored(ranked.mapInArrow(packed, "block bigint, centre binary, radius double, reach double, ids binary, v binary"), "vector-blocks")
+    balls = blocks.select("block", "centre", "reach").collect()
+    numbers = np.array([r["block"] for r in balls], np.int64)
+    centres = np.frombuffer(b"".join(r["centre"] for r in balls), np.float64).reshape(len(balls), dims)
+    reaches = np.array([r["reach"] for r in balls])
+
+    @F.arrow_udf("array<bigint>")
+    def targets(centre: pa.Array, radius: pa.Array) -> pa.Array:
+        """Blocks with a row that one within the radius may be a neighbour of."""
+        out = []
+        for c, r in zip(centre.to_pylist(), radius.to_pylist()):
+            apart = np.arccos(np.clip(centres @ np.frombuffer(c, np.float64), -1, 1))
+            out.append(np.unique(numbers[apart - r <= reaches + SLACK]))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    own = blocks.select(F.col("block").alias("target"), F.lit(-1).cast("bigint").alias("source"), "ids", "v")
+    others = blocks.select(F.explode(targets("centre", "radius")).alias("target"), F.col("block").alias("source"), "ids", "v")
+    met = own.unionByName(others).repartition("target").sortWithinPartitions("target", "source")
     pairs = met.mapInArrow(compare, "vec_id bigint, neighbour bigint, similarity double").where(F.col("similarity") > float("-inf"))
     pairs = pairs.groupBy("vec_id", "neighbour").agg(F.round(F.max("similarity"), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour"))

@@ -39,6 +39,26 @@ def test_neighbours(spark):
     assert sorted((r["vec_id"], r["neighbour"]) for r in few.collect()) == [(a, b) for a in range(3) for b in range(3) if a != b]
 
 
+def test_neighbours_of_a_rare_cluster(spark):
+    """Many blocks of tight clusters, and 30 rows that are near one another but far apart on a curve."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((200, 64))
+    bulk = centres[rng.integers(0, 200, 16_000)] + 0.1 * rng.standard_normal((16_000, 64))
+    rare = rng.standard_normal(64) + rng.standard_normal((30, 64))
+    x = np.concatenate([bulk, rare]).astype(np.float32)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>")
+    asked = [*range(0, 16_000, 40), *range(16_000, 16_030)]
+    got = {}
+    for r in neighbours.nearest_neighbours(table).where(F.col("vec_id").isin(asked)).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbour"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    true = np.argsort(-near, axis=1)[:, :10].tolist()
+    recall = np.array([len(got[i] & set(t)) / 10 for i, t in zip(asked, true)])
+    assert recall[:400].mean() > 0.999 and recall[400:].mean() > 0.999
+
+
 def test_chats(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 0, 1, 2]), rng.choice([None, "user", "assistant"]), rng.choice([None, "", "hé\n<|im_end|>", "東京", "x" * 300_000]), "t") for _ in range(60)]
