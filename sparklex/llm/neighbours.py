@@ -81,7 +81,11 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best k (scores, ids) of each row of scores, without its own id; missing ones are -inf."""
+    """Best k (scores, ids) of each row of scores, each id once, without its own; missing ones are -inf."""
+    order = np.argsort(ids, kind="stable")
+    once, first = np.unique(ids[order], return_index=True)
+    if len(once) < len(ids):  # vectors that share an id are one item: its best counts
+        scores, ids = np.maximum.reduceat(scores[:, order], first, axis=1), once
     scores = np.where(ids[None, :] == own[:, None], -np.inf, scores) if len(ids) else scores
     if scores.shape[1] > 4 * k:
         # everything that ties with the k-th best stays in the running
@@ -99,6 +103,9 @@ def _merge(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndar
     if a is None:
         return b
     scores, near = (np.concatenate(x, axis=1) for x in zip(a, b))
+    order = np.lexsort((-scores, near), axis=1)
+    scores, near = np.take_along_axis(scores, order, 1), np.take_along_axis(near, order, 1)
+    scores[:, 1:][near[:, 1:] == near[:, :-1]] = -np.inf  # an id's best comes first
     order = np.lexsort((near, -scores), axis=1)[:, :k]
     return np.take_along_axis(scores, order, 1), np.take_along_axis(near, order, 1)
 

@@ -59,6 +59,30 @@ def test_neighbours_of_a_rare_cluster(spark):
     assert recall[:400].mean() > 0.999 and recall[400:].mean() > 0.999
 
 
+def test_neighbours_of_an_id_with_many_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16))
+    many = x[0] + 0.01 * rng.standard_normal((25, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, v.tolist()) for v in many]
+    got = {}
+    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).where("vec_id in (0, 7)").collect():
+        got.setdefault(r["vec_id"], []).append(r["neighbour"])
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    near = unit(np.concatenate([x, many])) @ unit(x).T
+    item = near[:3000].copy()
+    item[7] = np.maximum(near[7], near[3000:].max(0))
+    item[:, 7] = item[7]
+    for i in (0, 7):
+        item[i, i] = -2
+        assert sorted(got[i]) == sorted(np.argsort(-item[i])[:10].tolist())
+
+
+def test_neighbour_merge_keeps_ids_once():
+    a, b = (np.array([[0.9, 0.8]]), np.array([[1, 2]])), (np.array([[0.95, 0.5]]), np.array([[1, 3]]))
+    scores, near = neighbours._merge(a, b, 3)
+    assert scores.tolist() == [[0.95, 0.8, 0.5]] and near.tolist() == [[1, 2, 3]]
+
+
 def test_chats(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 0, 1, 2]), rng.choice([None, "user", "assistant"]), rng.choice([None, "", "hé\n<|im_end|>", "東京", "x" * 300_000]), "t") for _ in range(60)]
