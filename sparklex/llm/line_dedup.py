@@ -1,41 +1,52 @@
 """Corpus-wide line dedup that can be undone, with sharded cuckoo filters.
 
-State in a shared folder, appended to batch by batch and never rewritten:
-
-* ``occ``: every occurrence of a countable line, with its shard, key and document
-* ``refs``: the change of each line's exact reference count
-* ``filter``: per touched shard, the cuckoo filters of its live lines
-* ``del``: ids of deleted documents
-
-A new batch asks its shards' filters first: a line that a filter doesn't know is
-certainly new, and only the others are looked up in the exact counts.  Deleting
-documents lowers the counts, takes lines that reach zero out of the filters, and
-gives the lines that those documents owned to the next document that has them.
-
-A line is keyed by 96 bits of hash of its text without surrounding blanks.  Lines
-shorter than ``min_chars`` then are never dropped, nor, unless ``white``, lines of
-nothing but white space (also of tabs or a carriage return).  The earliest (batch, doc_id,
-position) owns a line; every other occurrence is dropped.
-
-Defined results: rows with a null id or null text pass unchanged; repeated rows
-(same id and text) are one document; rows that share an id but not a text are
-separate documents, ordered by a hash of the text; empty texts stay empty; an empty
-table gives an empty result; extra columns are carried along.
+State in a shared folder.  Every change is a numbered folder of its own, which counts
+once it holds the marker ``DONE`` and is never rewritten then, so an index can be
+opened again and a change that was broken off is repeated:
+
+* ``occ``: every occurrence of a countable line (key, document, position)
+* ``docs``: the documents that were inserted
+* ``lines``: per line the change of its exact reference count, the filter part that
+  holds it and the occurrence that owns it, where they changed
+* ``filters``: the changed shards' cuckoo filters of live lines
+* ``gone``: ids of deleted documents
+
+Inserting counts a batch's lines (combined before they are shuffled, so a line of very
+many documents is one row a task) and asks the shards' filters: a line unknown to its
+filter is new, the others are looked up in the exact counts.  New lines get an owner
+and enter the filter; of known lines no occurrence of the batch is kept.  Deleting
+lowers the counts, takes lines that reach zero out of the very part of the filter that
+holds them, and gives lines whose owner went to their earliest occurrence that is left.
+A line's owner is looked up by document, never by line, so common lines skew nothing.
+
+A line is keyed by 96 bits of hash of its text without surrounding blanks.  Lines of
+nothing but white space are never dropped, nor are lines shorter than ``min_chars``.
+The earliest (batch, doc_id, position) owns a line; every other occurrence is dropped.
+
+Defined results: rows with a null id or null text pass unchanged, as do documents that
+aren't in the index; repeated rows (same id and text) are treated alike and keep the
+same lines; rows of one batch that share an id but not a text are separate documents,
+ordered by a hash of the text; an id that is in the index can't be inserted again
+before it was deleted (ValueError); empty texts stay empty; an empty table gives an
+empty result; extra columns are carried along, but for those of the added names,
+which are replaced.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sparklex.llm.shared import fresh_path, stored
+from sparklex.llm.shared import free_name, fresh_path, stored
 from sparklex.llm.text import mix64
 
-SHARD_BYTES = 32 << 20
+SHARD_LINES = 2_000_000
 _SLOTS = 4
 
 
@@ -111,14 +122,20 @@ class CuckooFilter:
         return prints, at
 
     def delete(self, keys: np.ndarray) -> None:
-        """Removes keys that were inserted."""
+        """Removes keys that were inserted here, one copy of each."""
         prints, one, two = self._places(keys)
-        for p, a, b in zip(prints.tolist(), one.tolist(), two.tolist()):
-            for bucket in (a, b):
-                slot = np.flatnonzero(self.table[bucket] == p)
-                if len(slot):
-                    self.table[bucket, slot[0]] = 0
-                    break
+        left = np.arange(len(keys))
+        while len(left):
+            before = len(left)
+            for at in (one, two):
+                hit = self.table[at[left]] == prints[left, None]
+                some = np.flatnonzero(hit.any(1))
+                place = at[left[some]] * _SLOTS + hit[some].argmax(1)
+                _, first = np.unique(place, return_index=True)
+                self.table.reshape(-1)[place[first]] = 0
+                left = np.delete(left, some[first])
+            if len(left) == before:
+                raise KeyError("a key that was never inserted")
 
 
 class FilterChain:
@@ -143,254 +160,318 @@ class FilterChain:
     def contains(self, keys: np.ndarray) -> np.ndarray:
         return np.any([p.contains(keys) for p in self.parts], axis=0) if self.parts else np.zeros(len(keys), bool)
 
-    def insert(self, keys: np.ndarray) -> None:
-        """Adds distinct keys."""
+    def insert(self, keys: np.ndarray) -> int:
+        """Adds keys, equal ones as many times; returns the number of the part that holds them."""
         if self.parts:
             last = self.parts[-1]
             if int((last.table > 0).sum()) + len(keys) <= last.capacity:
                 grown = CuckooFilter(0, last.table.copy())
                 if grown.insert(keys):
                     self.parts[-1] = grown
-                    return
-        if len(keys):
-            size = max(len(keys), 2 * self.parts[-1].capacity if self.parts else 0)
-            while not (made := CuckooFilter(size)).insert(keys):
-                size *= 2
-            self.parts.append(made)
+                    return len(self.parts) - 1
+        size = max(len(keys), 2 * self.parts[-1].capacity if self.parts else 0)
+        while not (made := CuckooFilter(size)).insert(keys):
+            size *= 2
+        self.parts.append(made)
+        return len(self.parts) - 1
 
-    def delete(self, keys: np.ndarray) -> None:
-        """Removes keys that were inserted."""
-        for part in self.parts:
-            found = part.contains(keys)
-            part.delete(keys[found])
-            keys = keys[~found]
-
-
-_OUT = "kind string, shard int, h1 bigint, h2 int, batch bigint, doc_id bigint, th bigint, pos int, kept boolean, change bigint, filter binary"
-_KEY = np.dtype([("h1", "<i8"), ("h2", "<i4")])
-
-
-def _keys(h1: np.ndarray, h2: np.ndarray) -> list[bytes]:
-    key = np.empty(len(h1), _KEY)
-    key["h1"], key["h2"] = h1, h2
-    return key.view("V12").tolist()
-
-
-def _out(kind: str, n: int, **columns) -> pa.RecordBatch:
-    types = {"shard": pa.int32(), "h1": pa.int64(), "h2": pa.int32(), "batch": pa.int64(), "doc_id": pa.int64(), "th": pa.int64(), "pos": pa.int32(), "kept": pa.bool_(), "change": pa.int64(), "filter": pa.binary()}
-    arrays = [pa.array([kind] * n, pa.string())] + [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", *types])
-
-
-def _admit(batch_no: int):
-    """One pass over shards, each sorted: its old filter, its lines known before, its new occurrences."""
-
-    def finish(shard: int, chain: FilterChain, seen: dict, known: set) -> Iterator[pa.RecordBatch]:
-        keys = list(seen)
-        if not keys:
-            return
-        packed = np.frombuffer(b"".join(keys), _KEY)
-        counts = np.array([seen[k][0] for k in keys], np.int64)
-        for at in range(0, len(keys), 50_000):
-            part = slice(at, at + 50_000)
-            n = len(counts[part])
-            yield _out("refs", n, shard=[shard] * n, h1=packed["h1"][part], h2=packed["h2"][part], change=counts[part])
-        new = np.array([k not in known for k in keys], bool)
-        chain.insert(np.unique(packed["h1"][new].view(np.uint64)))
-        yield _out("filter", 1, shard=[shard], filter=[chain.to_bytes()], batch=[batch_no])
-
-    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, chain, seen, known = None, FilterChain([]), {}, set()
-        for batch in batches:
-            cols = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-            shards = cols["shard"].to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else [0]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if shards[lo] != shard:
-                    if shard is not None:
-                        yield from finish(shard, chain, seen, known)
-                    shard, chain, seen, known = int(shards[lo]), FilterChain([]), {}, set()
-                get = {k: v.slice(lo, hi - lo).to_numpy(zero_copy_only=False) for k, v in cols.items() if k != "filter"}
-                rank = get["rank"]
-                for blob in cols["filter"].slice(lo, int((rank == 0).sum())).to_pylist():
-                    chain = FilterChain.from_bytes(blob)
-                old = rank == 1
-                known.update(_keys(get["h1"][old], get["h2"][old]))
-                at = rank == 2
-                if not at.any():
-                    continue
-                h1, h2, ids, th, pos = (get[c][at] for c in ("h1", "h2", "doc_id", "th", "pos"))
-                kept = np.ones(len(h1), bool)
-                again = np.zeros(len(h1), bool)
-                for i, (key, place) in enumerate(zip(_keys(h1, h2), zip(ids.tolist(), th.tolist(), pos.tolist()))):
-                    state = seen.get(key)
-                    if state is None:
-                        kept[i] = key not in known
-                        seen[key] = [1, place, place, kept[i]]
-                    elif state[2] == place:  # a repeated row
-                        again[i], kept[i] = True, state[1] == place and state[3]
-                    else:
-                        state[0] += 1
-                        state[2] = place
-                        kept[i] = False
-                here = ~again
-                n = int(here.sum())
-                yield _out("occ", n, shard=[shard] * n, h1=h1[here], h2=h2[here], batch=[batch_no] * n, doc_id=ids[here], th=th[here], pos=pos[here], kept=kept[here])
-        if shard is not None:
-            yield from finish(shard, chain, seen, known)
-
-    return admit
+    def delete(self, keys: np.ndarray, parts: np.ndarray) -> None:
+        """Removes keys from the parts that they were inserted into.
 
+        Only there: another part that seems to know a key holds some other key's fingerprint.
+        """
+        for number, part in enumerate(self.parts):
+            part.delete(keys[parts == number])
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of shards sorted filters first: the line keys that a filter of their shard may know."""
-    shard, chain = None, FilterChain([])
+
+def _key64(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """The filters' key of a line."""
+    return mix64(h1.view(np.uint64) ^ h2.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, FilterChain, pa.Table]]:
+    """(shard, its filters, its lines) of a partition sorted by shard, filters first; a shard's lines come in one piece."""
+    shard, chain, held = None, FilterChain([]), []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         shards = batch.column("shard").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else [0]
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             part = batch.slice(lo, hi - lo)
             if shards[lo] != shard:
-                shard, chain = shards[lo], FilterChain([])
+                if held:
+                    yield shard, chain, pa.Table.from_batches(held)
+                shard, chain, held = int(shards[lo]), FilterChain([]), []
             for blob in part.column("filter").drop_null().to_pylist():
                 chain = FilterChain.from_bytes(blob)
-            own = part.filter(part.column("filter").is_null())
-            if own.num_rows and chain.parts:
-                maybe = chain.contains(own.column("h1").to_numpy(zero_copy_only=False).view(np.uint64))
-                yield own.select(["shard", "h1", "h2"]).filter(pa.array(maybe))
+            lines = part.filter(part.column("filter").is_null())
+            if lines.num_rows:
+                held.append(lines)
+    if held:
+        yield shard, chain, pa.Table.from_batches(held)
+
+
+_LINE = "shard int, h1 bigint, h2 int, refs bigint, doc_id bigint, th bigint, pos int, part int, filter binary"
+_NAMES = [f.split()[0] for f in _LINE.split(", ")]
+
+
+def _keys_of(lines: pa.Table) -> np.ndarray:
+    return _key64(lines.column("h1").to_numpy(), lines.column("h2").to_numpy())
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with ``part`` 1 where their shard's filters may know them, else 0."""
+    for _, chain, lines in _by_shard(batches):
+        maybe = pa.array(chain.contains(_keys_of(lines)).astype(np.int32))
+        yield from lines.set_column(_NAMES.index("part"), "part", maybe).to_batches()
+
+
+def _admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """New lines with the filter part that now holds them, and the shard's new filters."""
+    kinds = {"shard": pa.int32(), "h1": pa.int64(), "h2": pa.int32(), "refs": pa.int64(), "doc_id": pa.int64(), "th": pa.int64(), "pos": pa.int32(), "part": pa.int32(), "filter": pa.binary()}
+    for shard, chain, lines in _by_shard(batches):
+        part = chain.insert(_keys_of(lines))
+        yield from lines.set_column(_NAMES.index("part"), "part", pa.array(np.full(lines.num_rows, part, np.int32))).to_batches()
+        only = {"shard": [shard], "filter": [chain.to_bytes()]}
+        yield pa.RecordBatch.from_arrays([pa.array(only.get(n, [None]), t) for n, t in kinds.items()], list(kinds))
+
+
+def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filters of shards, less lines that nothing refers to any more."""
+    for shard, chain, lines in _by_shard(batches):
+        chain.delete(_keys_of(lines), lines.column("part").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([chain.to_bytes()], pa.binary())], ["shard", "filter"])
+
+
+_TABLES = {
+    "occ": "number bigint, h1 bigint, h2 int, doc_id bigint, th bigint, pos int",
+    "docs": "number bigint, doc_id bigint, th bigint",
+    "lines": "number bigint, h1 bigint, h2 int, change bigint, part int, owner struct<number:bigint,doc_id:bigint,th:bigint,pos:int>",
+    "filters": "number bigint, shards int, shard int, filter binary",
+    "gone": "number bigint, doc_id bigint",
+}
 
 
 class LineIndex:
-    """Incremental, reversible line dedup; ``path`` is a folder that executors share."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None, min_chars: int = 20, white: bool = True):
-        self.spark, self.path, self.shards, self.min_chars, self.white = spark, path or fresh_path(spark, "line-index"), shards, min_chars, white
-        self.batches: list[int] = []
-        self.deletions = False
-
-    def _occurrences(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-        own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-        if self.shards is None:  # sized from all of the first batch
-            total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-            self.shards = max(1, -(-total // SHARD_BYTES))
-        lines = own.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        lines = lines.withColumn("line", F.trim("line")).where(F.length("line") >= self.min_chars)
-        if not self.white:
-            lines = lines.where(F.col("line").rlike(r"(?U)\S"))
-        return lines.select(F.pmod(F.xxhash64("line"), F.lit(self.shards)).cast("int").alias("shard"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "doc_id", "th", "pos")
-
-    def _kind(self, kind: str) -> DataFrame:
-        own = self.spark.read.schema(_OUT).parquet(*[f"{self.path}/batch={b}" for b in self.batches])
-        return own.where(F.col("kind") == kind).drop("kind")
-
-    def _filters(self) -> DataFrame:
-        """(shard, filter): the latest of each shard."""
-        return self._kind("filter").groupBy("shard").agg(F.max_by("filter", "batch").alias("filter"))
-
-    def _append(self, number: int, kind: str, rows: DataFrame) -> None:
-        fields = [f.split() for f in _OUT.split(", ")]
-        columns = [F.lit(kind).alias("kind")] + [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in fields[1:]]
-        rows.select(*columns).write.mode("append").parquet(f"{self.path}/batch={number}")
+    """Incremental, reversible line dedup; ``path`` is a folder that executors share, with one writer at a time.
 
-    def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> int:
-        """Adds a batch of documents; returns its number.  Ids must be new to the index."""
-        number = len(self.batches)
-        occ = self._occurrences(docs, doc_id, text)
-        rows = occ.select("shard", F.lit(2).alias("rank"), "h1", "h2", "doc_id", "th", "pos", F.lit(None).cast("binary").alias("filter"))
-        if self.batches:
-            latest = self._filters()
-            keys = occ.select("shard", "h1", "h2").distinct()
-            asked = latest.select("shard", F.lit(None).cast("bigint").alias("h1"), F.lit(None).cast("int").alias("h2"), "filter").unionByName(keys.withColumn("filter", F.lit(None).cast("binary")))
-            maybe = asked.repartition("shard").sortWithinPartitions("shard", F.col("filter").isNull()).mapInArrow(_screen, "shard int, h1 bigint, h2 int")
-            known = maybe.distinct().join(self.counts(), ["h1", "h2"], "left_semi")
-            empty = {"doc_id": "bigint", "th": "bigint", "pos": "int"}
-            head = latest.select("shard", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("h1"), F.lit(0).alias("h2"), *[F.lit(0).cast(t).alias(c) for c, t in empty.items()], "filter")
-            mid = known.select("shard", F.lit(1).alias("rank"), "h1", "h2", *[F.lit(0).cast(t).alias(c) for c, t in empty.items()], F.lit(None).cast("binary").alias("filter"))
-            rows = head.unionByName(mid).unionByName(rows)
-        rows = rows.repartition(self.shards, "shard").sortWithinPartitions("shard", "rank", "doc_id", "th", "pos")
-        rows.mapInArrow(_admit(number), _OUT).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
-        self.batches.append(number)
+    An existing index at ``path`` is opened, with the options that it was made with.
+    ``shards`` fixes the number of filters; else it grows with the lines.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None, min_chars: int = 1):
+        self.spark, self.path = spark, path or fresh_path(spark, "line-index")
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if self._fs.exists(self._at(f"{self.path}/options")):
+            options = json.loads(spark.read.text(f"{self.path}/options").first()[0])
+        else:
+            options = {"shards": shards, "min_chars": min_chars}
+            spark.createDataFrame([(json.dumps(options),)], "value string").coalesce(1).write.text(f"{self.path}/options")
+        self.fixed, self.min_chars = options["shards"], options["min_chars"]
+        #: what each change holds, in order
+        self.changes: list[dict] = []
+        while self._fs.exists(self._at(f"{self._folder(len(self.changes))}/DONE")):
+            self.changes.append(json.loads(spark.read.text(f"{self._folder(len(self.changes))}/DONE").first()[0]))
+
+    def _folder(self, number: int) -> str:
+        return f"{self.path}/change-{number:08d}"
+
+    def _begin(self) -> int:
+        """Number of the next change; what is left of a broken attempt at it goes."""
+        number = len(self.changes)
+        if self._fs.exists(self._at(f"{self._folder(number)}/DONE")):
+            raise RuntimeError(f"change {number} of {self.path} was made by another writer")
+        self._fs.delete(self._at(self._folder(number)), True)
         return number
 
+    def _write(self, number: int, table: str, rows: DataFrame) -> None:
+        rows = rows.withColumn("number", F.lit(number).cast("bigint")) if "number" not in rows.columns else rows
+        fields = StructType.fromDDL(_TABLES[table]).fields
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.parquet(f"{self._folder(number)}/{table}")
+
+    def _finish(self, number: int, tables: list[str], shards: int, lines: int) -> int:
+        about = {"tables": tables, "shards": shards, "lines": lines}
+        out = self._fs.create(self._at(f"{self._folder(number)}/DONE"), False)
+        out.write(bytearray((json.dumps(about) + "\n").encode()))
+        out.close()
+        self.changes.append(about)
+        return number
+
+    def _table(self, table: str) -> DataFrame:
+        own = [f"{self._folder(i)}/{table}" for i, c in enumerate(self.changes) if table in c["tables"]]
+        return self.spark.read.schema(_TABLES[table]).parquet(*own) if own else self.spark.createDataFrame([], _TABLES[table])
+
+    @property
+    def shards(self) -> int:
+        return self.changes[-1]["shards"] if self.changes else 0
+
+    @property
+    def known(self) -> int:
+        """How many lines ever entered the filters."""
+        return self.changes[-1]["lines"] if self.changes else 0
+
+    def eligible(self, line: Column) -> Column:
+        """Whether a line is one that can be dropped."""
+        shown = line.rlike(r"(?U)\S")
+        return shown if self.min_chars <= 1 else shown & (F.length(F.trim(line)) >= self.min_chars)
+
+    def _lines_now(self, only: DataFrame | None = None) -> DataFrame:
+        """(h1, h2, refs, part, owner) of lines with live occurrences; ``only``: of these keys."""
+        rows = self._table("lines")
+        if only is not None:
+            rows = rows.join(only.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("number")).otherwise(-1)).alias(c)
+        return rows.groupBy("h1", "h2").agg(F.sum("change").alias("refs"), last("part"), last("owner")).where("refs > 0")
+
     def counts(self) -> DataFrame:
         """(h1, h2, refs): exact reference counts of all live lines."""
-        return self._kind("refs").groupBy("h1", "h2").agg(F.sum("change").alias("refs")).where("refs > 0")
-
-    def _deleted(self) -> DataFrame:
-        return self._kind("del").select("doc_id").distinct()
+        return self._table("lines").groupBy("h1", "h2").agg(F.sum("change").alias("refs")).where("refs > 0")
+
+    def _filters(self, shards: int) -> DataFrame:
+        """(shard, filter): the latest of each of so many shards."""
+        return self._table("filters").where(F.col("shards") == shards).groupBy("shard").agg(F.max_by("filter", "number").alias("filter"))
+
+    def _live(self, table: str) -> DataFrame:
+        """Rows of documents that weren't deleted after they came."""
+        rows = self._table(table)
+        if not any("gone" in c["tables"] for c in self.changes):
+            return rows
+        gone = self._table("gone").groupBy("doc_id").agg(F.max("number").alias("until"))
+        return rows.join(gone, (rows["doc_id"] == gone["doc_id"]) & (rows["number"] < gone["until"]), "left_anti")
+
+    def _met(self, shards: int, lines: DataFrame, filters: DataFrame) -> DataFrame:
+        """Lines and filters by shard, each shard's filter first."""
+        kinds = dict(f.split() for f in _LINE.split(", "))
+        lines = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+        rows = [t.select(*[(F.col(c) if c in t.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]) for t in (lines, filters)]
+        return rows[0].unionByName(rows[1]).repartition(shards, "shard").sortWithinPartitions("shard", F.col("filter").isNull())
 
-    def live(self) -> DataFrame:
-        """Occurrences in documents that weren't deleted."""
-        occ = self._kind("occ")
-        return occ.join(self._deleted(), "doc_id", "left_anti") if self.deletions else occ
+    def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> int:
+        """Adds a batch of documents; returns its number."""
+        number = self._begin()
+        own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+        places = own.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        # a row of every document, with the key of no line, comes along in the same pass
+        every = places.where(self.eligible(F.col("line")) | (F.col("pos") == 0)).withColumn("line", F.when(self.eligible(F.col("line")), F.trim("line")))
+        keyed = every.select(F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("h1"), F.when(F.col("line").isNotNull(), F.hash("line")).alias("h2"), "doc_id", "th", "pos")
+        self._write(number, "occ", keyed)
+        occ = self.spark.read.schema(_TABLES["occ"]).parquet(f"{self._folder(number)}/occ")
+        self._write(number, "docs", occ.where("pos = 0").select("number", "doc_id", "th"))
+        mine = self.spark.read.schema(_TABLES["docs"]).parquet(f"{self._folder(number)}/docs")
+        if self.changes and not mine.join(self._live("docs"), "doc_id", "left_semi").isEmpty():
+            raise ValueError("an id of the batch is in the index")
+        lines = occ.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min(F.struct("doc_id", "th", "pos")).alias("at"))
+        lines = stored(lines.select("h1", "h2", "refs", "at.*"), "batch-lines")
+        n = lines.count()
+        shards = self.fixed or self.shards or max(self.spark.sparkContext.defaultParallelism, -(-n // SHARD_LINES))
+        if not self.fixed and self.known + n > 4 * shards * SHARD_LINES:
+            shards = self._resize(-(-2 * (self.known + n) // SHARD_LINES))
+            return self.insert(docs, doc_id, text)
+        again = None
+        if self.changes:
+            asked = stored(self._met(shards, lines, self._filters(shards)).mapInArrow(_screen, _LINE), "screened")
+            found = asked.where("part = 1").select("h1", "h2")
+            again = stored(found.join(self.counts(), ["h1", "h2"], "left_semi"), "known-lines")
+            new = asked.join(again, ["h1", "h2"], "left_anti").select("h1", "h2", "refs", "doc_id", "th", "pos")
+        else:
+            new = lines
+        added = stored(self._met(shards, new, self._filters(shards)).mapInArrow(_admit, _LINE), "admitted")
+        rows = added.where("filter is null").select("h1", "h2", F.col("refs").alias("change"), "part", F.struct(F.lit(number).cast("bigint").alias("number"), "doc_id", "th", "pos").alias("owner"))
+        if again is not None:
+            old = lines.join(again, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("refs").alias("change"))
+            rows = rows.unionByName(old, allowMissingColumns=True)
+        self._write(number, "lines", rows)
+        self._write(number, "filters", added.where("filter is not null").select(F.lit(shards).alias("shards"), "shard", "filter"))
+        return self._finish(number, ["occ", "docs", "lines", "filters"], shards, self.known + n)
+
+    def _resize(self, shards: int) -> int:
+        """Makes the filters anew from the exact counts, for so many shards."""
+        number = self._begin()
+        added = stored(self._met(shards, self._lines_now(), self._filters(-1)).mapInArrow(_admit, _LINE), "resized")
+        self._write(number, "lines", added.where("filter is null").select("h1", "h2", F.lit(0).alias("change"), "part", F.lit(None).alias("owner")))
+        self._write(number, "filters", added.where("filter is not null").select(F.lit(shards).alias("shards"), "shard", "filter"))
+        self._finish(number, ["lines", "filters"], shards, self.known)
+        return shards
 
     def delete(self, doc_ids: DataFrame) -> int:
         """Takes documents out: one column of ids.  Unknown ids don't matter."""
-        number = len(self.batches)
-        ids = doc_ids.select(F.col(doc_ids.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-        gone = self.live().join(ids, "doc_id", "left_semi").groupBy("shard", "h1", "h2").agg((-F.count("*")).alias("change"))
-        gone = stored(self.live().join(ids, "doc_id", "left_semi").groupBy("shard", "h1", "h2").agg((-F.count("*")).alias("change")), "line-deletions")
-        dead = gone.join(self.counts(), ["h1", "h2"]).where("refs + change = 0").select("shard", "h1")
-        alive = self.counts().join(gone.select("h1", "h2", "change"), ["h1", "h2"], "left").where("refs + coalesce(change, 0) > 0").select(F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard"), "h1")
-        still = alive.join(dead, ["shard", "h1"], "left_semi")  # another line of the same 64 bits
-        dead = dead.join(still, ["shard", "h1"], "left_anti").distinct()
-        merged = dead.groupBy("shard").agg(F.collect_list("h1").alias("keys")).join(self._filters(), "shard")
-
-        @F.arrow_udf("binary")
-        def without(filters: pa.Array, keys: pa.Array) -> pa.Array:
-            out = []
-            for blob, gone_keys in zip(filters.to_pylist(), keys.to_pylist()):
-                chain = FilterChain.from_bytes(blob)
-                chain.delete(np.array(gone_keys, np.int64).view(np.uint64))
-                out.append(chain.to_bytes())
-            return pa.array(out, pa.binary())
-
-        self._append(number, "refs", gone)
-        self._append(number, "filter", merged.select("shard", without("filter", "keys").alias("filter"), F.lit(number).alias("batch")))
-        self._append(number, "del", ids)
-        self.deletions = True
-        self.batches.append(number)
-        return number
-
-    def dropped(self) -> DataFrame:
-        """(doc_id, th, pos) of every live occurrence that its line's owner isn't."""
-        if len(self.batches) == 1:
-            return self._kind("occ").where("not kept").select("doc_id", "th", "pos")
-        live = self.live()
-        place = F.struct("batch", "doc_id", "th", "pos")
-        owner = live.groupBy("h1", "h2").agg(F.min(place).alias("owner"))
-        return live.join(owner, ["h1", "h2"]).where(place != F.col("owner")).select("doc_id", "th", "pos")
+        number, shards = self._begin(), self.shards
+        ids = stored(doc_ids.select(F.col(doc_ids.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct(), "line-deletions")
+        live = self._live("occ").where("h1 is not null")
+        place = F.struct("number", "doc_id", "th", "pos")
+        gone = live.join(ids, "doc_id", "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+        gone = stored(gone, "lines-that-lose")
+        # the owner is the earliest occurrence, so it went if it is the earliest that went
+        now = stored(self._lines_now(gone).join(gone, ["h1", "h2"]).withColumn("orphan", F.col("first") == F.col("owner")), "lines-touched")
+        heirs = now.where("orphan and refs > n").select("h1", "h2")
+        left = live.join(ids, "doc_id", "left_anti").join(heirs, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("heir"))
+        rows = now.join(left, ["h1", "h2"], "left").select("h1", "h2", (-F.col("n")).alias("change"), F.lit(None).alias("part"), F.col("heir").alias("owner"))
+        dead = now.where("refs = n").select("h1", "h2", "part")
+        touched = dead.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard")).distinct() if shards else None
+        self._write(number, "lines", rows)
+        if shards:
+            met = self._met(shards, dead, self._filters(shards).join(touched, "shard", "left_semi"))
+            self._write(number, "filters", met.mapInArrow(_take_out, "shard int, filter binary").withColumn("shards", F.lit(shards)))
+        self._write(number, "gone", ids)
+        return self._finish(number, ["lines", "gone", *["filters"] * bool(shards)], shards, self.known)
+
+    def owners(self) -> DataFrame:
+        """(doc_id, th, pos) of the occurrence of every live line that stays."""
+        if len(self.changes) == 1:
+            return self._table("lines").select("owner.doc_id", "owner.th", "owner.pos")
+        return self._lines_now().select("owner.doc_id", "owner.th", "owner.pos")
 
     def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
         """docs with ``text`` without its dropped lines, and how many lines it had and lost."""
-        gone = self.dropped().groupBy("doc_id", "th").agg(F.collect_list("pos").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "th": "__th"})
-        joined = docs.join(gone, (docs[doc_id] == gone["__id"]) & (F.xxhash64(docs[text]) == gone["__th"]), "left")
-        lines = F.split(docs[text], "\n", -1)
-        left: Column = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-        out = F.when(F.col("__gone").isNull(), docs[text]).otherwise(left)
-        new = {text: out, n_lines: F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), n_dropped: F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint")}
-        new[n_lines] = F.when(docs[text].isNull(), F.lit(0).cast("bigint")).otherwise(new[n_lines])
-        new[n_dropped] = F.when(F.col("__gone").isNull(), F.lit(0).cast("bigint")).otherwise(new[n_dropped])
+        id_, th, kept, done = (free_name(docs, c) for c in ("__id", "__th", "__kept", "__done"))
+        rows = self._live("docs").select("doc_id", "th", F.lit(None).cast("int").alias("pos")).unionByName(self.owners())
+        rows = rows.groupBy("doc_id", "th").agg(F.collect_list("pos").alias(kept)).withColumnsRenamed({"doc_id": id_, "th": th})
+        joined = docs.join(rows, (docs[doc_id] == rows[id_]) & (F.xxhash64(docs[text]) == rows[th]), "left")
+
+        def cut(lines: Column) -> Column:
+            always = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~self.eligible(F.element_at(lines, i + 1)))
+            stay = F.sort_array(F.concat(F.col(kept), always))
+            return F.struct(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n").alias("text"), F.size(lines).alias("n"), F.size(stay).alias("left"))
+
+        # the lambda's variable holds the lines, which are then split once
+        made = F.transform(F.array(F.split(docs[text], "\n", -1)), cut)[0]
+        joined = joined.withColumn(done, F.when(F.col(kept).isNotNull(), made))
+        n = F.when(docs[text].isNull(), 0).otherwise(F.size(F.split(docs[text], "\n", -1)))
+        new = {
+            text: F.when(F.col(done).isNull(), docs[text]).otherwise(F.col(f"{done}.text")),
+            n_lines: F.coalesce(F.col(f"{done}.n"), n).cast("bigint"),
+            n_dropped: F.coalesce(F.col(f"{done}.n") - F.col(f"{done}.left"), F.lit(0)).cast("bigint"),
+        }
         return joined.select(*[docs[c] for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", batches: int = 1, **options) -> DataFrame:
     """docs with all but the first occurrence of every line dropped; adds n_lines and n_dropped.
 
+    With several ``batches`` the documents are inserted one range of ids after another,
+    which gives the same rows: the later ones are judged by filters and counts alone.
     ``options`` go to LineIndex.  Columns of docs with the added names are replaced.
     """
     index = LineIndex(docs.sparkSession, **options)
-    index.insert(docs, doc_id, text)
+    ends = docs.agg(F.min(doc_id).alias("a"), F.max(doc_id).alias("b")).first() if batches > 1 else (None, None)
+    if ends[0] is None:
+        index.insert(docs, doc_id, text)
+        return index.apply(docs, doc_id, text, n_lines, n_dropped)
+    cuts = [ends[0] + (ends[1] - ends[0] + 1) * i // batches for i in range(batches + 1)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        index.insert(docs.where((F.col(doc_id) >= lo) & (F.col(doc_id) < hi)), doc_id, text)
     return index.apply(docs, doc_id, text, n_lines, n_dropped)
 
 
 #: DuckDB; the same rows as op2 over whole tables.
-ORACLE = """
+ORACLE = r"""
 with lines as (
     select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos
     from (select doc_id, string_split(text, chr(10)) as l from documents)
 ), ranked as (
-    select *, length(trim(line)) >= 20 and row_number() over (partition by trim(line) order by doc_id, pos) > 1 as gone
+    select *, regexp_matches(line, '[^\t-\r\x{85}\p{Z}]') and row_number() over (partition by trim(line) order by doc_id, pos) > 1 as gone
     from lines
 )
 select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text,

@@ -23,7 +23,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, batches=2)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparklex.llm import decontam, language_id, licenses, line_dedup, near_dup, packing, substring_dedup, token_store
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASH = ["a", "n", "s", "w", "h1", "th", "rank", "kept", "rep", "m", "t", "component", "language", "band", "block", "tokens"]
+CLASH = ["a", "n", "s", "w", "h1", "th", "rank", "kept", "rep", "m", "t", "component", "language", "band", "block", "tokens", "__kept", "__done", "__id"]
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
@@ -55,7 +55,7 @@ def test_token_round_trip(spark, odd, tmp_path):
 # ------------------------------------------------------------ 2 line dedup
 
 
-def kept_lines(batches, least=20):
+def kept_lines(batches, least=1):
     """Brute force: text of every document after line dedup over batches of (id, text)."""
     seen, out = set(), {}
     for batch in batches:
@@ -63,7 +63,7 @@ def kept_lines(batches, least=20):
             lines = []
             for line in text.split("\n"):
                 key = line.strip(" ")
-                if len(key) < least or key not in seen:
+                if len(key) < least or not line.strip() or key not in seen:
                     lines.append(line)
                 if len(key) >= least:
                     seen.add(key)
@@ -71,23 +71,69 @@ def kept_lines(batches, least=20):
     return out
 
 
-def test_line_index_is_reversible(spark):
+def cleaned(index, spark, rows):
+    return dict(pairs(index.apply(frame(spark, rows)), "doc_id", "text"))
+
+
+@pytest.mark.parametrize("least", [1, 20])
+def test_line_index_is_reversible(spark, tmp_path, least):
     rng = random.Random(3)
-    lines = [prose(rng, 6) for _ in range(40)] + ["short"]
+    lines = [prose(rng, 6) for _ in range(40)] + ["short", "", " \t"]
     text = lambda: "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 8)))
     one, two = ([(i, text()) for i in ids] for ids in (range(20), range(20, 40)))
-    index = line_dedup.LineIndex(spark, shards=3)
+    path = str(tmp_path / "lines")
+    index = line_dedup.LineIndex(spark, path, shards=3, min_chars=least)
     index.insert(frame(spark, one))
-    assert dict(pairs(index.apply(frame(spark, one)), "doc_id", "text")) == kept_lines([one])
+    assert cleaned(index, spark, one) == kept_lines([one], least)
     index.insert(frame(spark, two))
-    assert dict(pairs(index.apply(frame(spark, one + two)), "doc_id", "text")) == kept_lines([one, two])
+    assert cleaned(index, spark, one + two) == kept_lines([one, two], least)
     gone = {0, 1, 2, 5, 21, 30}
     index.delete(spark.createDataFrame([(i,) for i in gone | {999}], "x bigint"))
     left = [[d for d in b if d[0] not in gone] for b in (one, two)]
-    assert dict(pairs(index.apply(frame(spark, left[0] + left[1])), "doc_id", "text")) == kept_lines(left)
-    three = [(50, one[0][1]), (51, two[3][1])]
+    assert cleaned(index, spark, left[0] + left[1]) == kept_lines(left, least)
+    # the folder holds all of it: another object goes on where this one stopped
+    index = line_dedup.LineIndex(spark, path)
+    assert index.min_chars == least and cleaned(index, spark, left[0] + left[1]) == kept_lines(left, least)
+    three = [(50, one[0][1]), (1, one[1][1]), (2, two[3][1])]  # 1 and 2 come back
     index.insert(frame(spark, three))
-    assert dict(pairs(index.apply(frame(spark, left[0] + left[1] + three)), "doc_id", "text")) == kept_lines([*left, three])
+    assert cleaned(index, spark, left[0] + left[1] + three) == kept_lines([*left, three], least)
+    want = {}
+    for _, t in left[0] + left[1] + three:
+        for line in t.split("\n"):
+            if line.strip() and len(line.strip(" ")) >= least:
+                want[line.strip(" ")] = want.get(line.strip(" "), 0) + 1
+    assert sorted(r["refs"] for r in index.counts().collect()) == sorted(want.values())
+    with pytest.raises(ValueError):
+        index.insert(frame(spark, [(50, "again")]))
+    stale = line_dedup.LineIndex(spark, path)
+    index.insert(frame(spark, [(60, "a line that only this document has")]))
+    with pytest.raises(RuntimeError):
+        stale.insert(frame(spark, [(61, "x")]))
+
+
+def test_line_filters_decide(spark, monkeypatch, tmp_path):
+    """What filters and counts answer is what is kept: with broken filters the result is wrong."""
+    one, two = [(1, "a line that comes twice")], [(2, "a line that comes twice\na new line")]
+    for broken in (False, True):
+        index = line_dedup.LineIndex(spark, str(tmp_path / str(broken)))
+        index.insert(frame(spark, one))
+        if broken:  # a filter that has lost its lines
+            monkeypatch.setattr(index, "_filters", lambda shards: spark.createDataFrame([], "shard int, filter binary"))
+        index.insert(frame(spark, two))
+        assert (cleaned(index, spark, one + two) == kept_lines([one, two])) != broken
+
+
+def test_line_index_grows(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 1)
+    rows = [[(100 * b + i, f"line {b} {i}\nline {b} {i + 1}\nshared {i % 7}") for i in range((10, 60, 60)[b])] for b in range(3)]
+    index = line_dedup.LineIndex(spark)
+    for batch in rows:
+        index.insert(frame(spark, batch))
+    assert len(index.changes) > 3 and index.shards > 50
+    assert cleaned(index, spark, sum(rows, [])) == kept_lines(rows)
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 300, 3)], "x bigint"))
+    left = [[d for d in b if d[0] % 3] for b in rows]
+    assert cleaned(index, spark, sum(left, [])) == kept_lines(left)
 
 
 def test_line_dedup_odd_rows(spark, odd):
@@ -95,18 +141,31 @@ def test_line_dedup_odd_rows(spark, odd):
     assert sorted(str(r["text"]) for r in got.collect()) == sorted(str(r["text"]) for r in odd.collect())
     assert got.where("m > 0").count() == 0
     assert line_dedup.dedup_lines(odd.where("false")).count() == 0
+    assert line_dedup.dedup_lines(odd.where("false"), batches=2).count() == 0
+    same = [(1, "x\ny"), (1, "x\ny"), (1, "y\nz"), (2, "z"), (None, "x")]  # an id with two texts, a repeated row
+    got = pairs(line_dedup.dedup_lines(frame(spark, same), batches=2).withColumn("i", F.coalesce("doc_id", F.lit(0))), "i", "text")
+    texts = [t for i, t in got if i == 1]
+    assert [t for i, t in got if i != 1] == ["x", ""] and sorted(texts) in (["x\ny", "x\ny", "z"], ["x", "x", "y\nz"])
+    many = [(i, "the same line everywhere\nand one of its own %d" % i) for i in range(300)]
+    assert dict(pairs(line_dedup.dedup_lines(frame(spark, many), batches=3), "doc_id", "text")) == kept_lines([many])
 
 
 def test_cuckoo_filter():
-    keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64))
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 200_000, dtype=np.uint64))
     chain = line_dedup.FilterChain([])
-    for part in np.array_split(keys, 7):
-        chain.insert(part)
-    assert chain.contains(keys).all()
-    chain.delete(keys[:2500])
+    parts = np.concatenate([np.full(len(part), chain.insert(part)) for part in np.array_split(keys, 7)])
+    assert chain.contains(keys).all() and len(chain.parts) > 2
+    gone = np.random.default_rng(1).random(len(keys)) < 0.5
+    chain.delete(keys[gone], parts[gone])
     chain = line_dedup.FilterChain.from_bytes(chain.to_bytes())
-    assert chain.contains(keys[2500:]).all()
-    assert chain.contains(keys[:2500]).mean() < 0.01
+    assert chain.contains(keys[~gone]).all()
+    assert chain.contains(keys[gone]).mean() < 0.01
+    twice = np.repeat(keys[:3], 2)
+    part = chain.insert(twice)
+    chain.delete(keys[:3], np.full(3, part))
+    assert chain.contains(keys[:3]).all()
+    chain.delete(keys[:3], np.full(3, part))
+    assert not line_dedup.FilterChain(chain.parts[part:part + 1]).contains(keys[:3]).all()
 
 
 # ------------------------------------------------------------ 3 language
