@@ -15,15 +15,17 @@ from sparklex.llm import decontam, language_id, line_dedup, near_dup, packing, s
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the classifier rejects."""
-    judged = language_id.identify_languages(docs, output="__language")
-    return judged.where(F.col("__language.accepted")).drop("__language")
+    name = shared.free_name(docs, "language")
+    judged = language_id.identify_languages(docs, output=name)
+    return judged.where(F.col(f"{name}.accepted")).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first occurrence of every line, however short, that isn't blank; a document left without text goes."""
-    cut = line_dedup.dedup_lines(docs, n_lines="__lines", n_dropped="__dropped", min_chars=1, white=False)
-    left = cut.where("__dropped = 0 or trim(replace(text, '\n', '')) != ''")
-    return left.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, dropped = (shared.free_name(docs, c) for c in ("n_lines", "n_dropped"))
+    cut = line_dedup.dedup_lines(docs, n_lines=lines, n_dropped=dropped)
+    left = cut.where((F.col(dropped) == 0) | (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != ""))
+    return left.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
