@@ -1,26 +1,31 @@
 """Passages that repeat across documents, located with Aho-Corasick automata.
 
 A passage is a run of words whose every window of ``min_words`` words also occurs in
-another document.  All of it works on word hashes, never on whole-text comparisons:
+another document.  All of it works on word hashes:
 
 1. Winnowing: of every window of ``min_words`` words the k-word anchor with the least
-   hash is selected, the leftmost on ties, so equal windows select equal anchors.
-2. Anchors that only one document has are dropped; a fixed-size bit table of the
-   others tells a second pass which anchors' surroundings can matter.
-3. The surroundings (every window that holds the anchor) meet by anchor.  Windows
-   found in two documents are confirmed, and confirmed windows make up the recurring
-   passages of the shard.
-4. The passages are compiled into the shard's automaton over 32-bit word codes, and
-   every document's stretch of text that was sent to the shard is streamed through it
-   to locate every occurrence; overlapping occurrences merge into spans.
-
-Each document is read whole, and a stretch goes only to the shards that hold its
-anchors, so work grows with the corpus and not with corpus times passages.
+   hash is selected, the leftmost on ties, so equal windows select equal anchors and
+   text without an anchor that another document has can't hold a passage.
+2. Anchors that only one document has are dropped, by a bit table sized from the number
+   of the others (beyond 128 MB, by a join).
+3. The surroundings of the others (every window that holds the anchor) are the stretches
+   of a document.  They go to the shard of their anchor, where windows found in two
+   documents are confirmed; runs of confirmed windows are the shard's passages.
+4. The distinct passages are compiled into the shard's automaton over 32-bit word codes,
+   and all stretches of all documents that were sent to the shard are streamed through
+   it, which tells where passages occur; what overlaps or touches merges into spans.
+
+An anchor of very many documents would make a shard too large.  Those take another way
+to the same result: their windows are counted by Spark, combined before the shuffle,
+and the confirmed ones are compiled for several salted shards of the anchor's stretches.
+
+Every document is read whole, and a stretch goes only to the shards of its anchors, so
+work grows with the corpus and not with corpus times passages.
 
 Defined results: null ids and null texts are left out; texts of fewer than
 ``min_words`` words have no passages; rows that share an id are one document, so
 repeated rows alone are no repetition; a passage repeated only inside one document is
-not reported; extra columns don't matter.
+not reported; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,21 +35,24 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparklex.llm.shared import stored
 from sparklex.llm.text import binary_array, mix64, powers, word_hashes
 
-BITS = 1 << 27  # of the anchor table: 16 MB, whatever the corpus
-BLOCK = 20_000  # stretches an automaton is compiled for
+MAX_BITS = 1 << 30  # of the anchor table
+SHARD = 20_000  # stretches an automaton is compiled for
+HOT = 2_000  # occurrences of an anchor beyond which it takes the salted way
+MAX_HOT = 1_000_000  # anchors that can: with more, the bound rises
 
 
-def anchors(words: np.ndarray, offsets: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors selected in a chunk of documents."""
+def selections(words: np.ndarray, offsets: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of windows, position of the anchor that each selects, hashes of all k-word anchors) of a chunk of documents."""
     reach = min_words - k + 1  # anchors in a window
     n = len(words)
     if n < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = np.zeros(n - k + 1, np.uint64)
     for j, p in enumerate(powers(k + 1)[1:]):
         grams += words[j : n - k + 1 + j] * p
@@ -59,77 +67,111 @@ def anchors(words: np.ndarray, offsets: np.ndarray, min_words: int, k: int) -> t
         least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
     row_end = np.repeat(offsets[1:], np.diff(offsets))
     inside = np.arange(len(least)) + min_words <= row_end[: len(least)]
-    at = np.unique(least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return np.flatnonzero(inside), at, grams
+
+
+def anchors(words: np.ndarray, offsets: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the anchors selected in a chunk of documents."""
+    _, at, grams = selections(words, offsets, min_words, k)
+    at = np.unique(at)
     return at, grams[at]
 
 
-def _bits_of(hashes: DataFrame) -> np.ndarray:
-    """Fixed-size bit table of a column ``a`` of hashes."""
-    place = F.pmod("a", F.lit(BITS))
-    words = hashes.select(F.floor(place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(pmod(a, {BITS}) % 64))").alias("b"))
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(BITS // 64, np.uint64)
-    table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return table
+class _Bits:
+    """Bit table of a column ``a`` of hashes."""
 
+    def __init__(self, hashes: DataFrame, n: int):
+        self.bits = 1 << max(16, (16 * n).bit_length())
+        while self.bits > MAX_BITS:
+            self.bits >>= 1
+        word = F.shiftrightunsigned(F.col("a").bitwiseAND(F.lit(self.bits - 1)), 6).cast("int")
+        rows = hashes.select(word.alias("w"), F.expr("shiftleft(1L, int(a & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        self.table = np.zeros(self.bits // 64, np.uint64)
+        self.table[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
 
-def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = np.mod(hashes.view(np.int64), np.int64(BITS)).astype(np.uint64)
-    return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & np.uint64(self.bits - 1)
+        return (self.table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _locate(min_words: int, width: int):
-    """Spans of the stretches of whole anchor groups."""
-
-    def spans(a: np.ndarray, ids: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch | None:
-        n, windows = len(ids), width - min_words + 1
-        wide = mix64(codes.astype(np.uint64) + np.uint64(1 << 32))
-        wide[codes == 0] = 0
-        empty = np.concatenate([np.zeros((n, 1), np.int32), np.cumsum(codes == 0, axis=1, dtype=np.int32)], axis=1)
-        lo = np.full(n, windows, np.int64)
-        hi = np.full(n, -1, np.int64)
-        # windows are only compared at the same place of a stretch, so sums need no common scale
-        sums = np.zeros((n, width + 1), np.uint64)
-        np.cumsum(wide * powers(width), axis=1, out=sums[:, 1:])
-        rows = np.arange(n)
-        for s in range(windows):
-            whole = rows[empty[:, s + min_words] == empty[:, s]]
-            if not len(whole):
+def compiled(passages: list[np.ndarray]) -> ahocorasick.Automaton:
+    """The automaton of distinct sequences of word codes."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    seen = set()
+    for passage in passages:
+        if (raw := passage.tobytes()) not in seen:
+            seen.add(raw)
+            automaton.add_word(tuple(passage.tolist()), len(passage))
+    automaton.make_automaton()
+    return automaton
+
+
+def located(automaton: ahocorasick.Automaton, ids: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, a, b): where stretches hold passages, overlaps of a stretch merged."""
+    out = [np.zeros((3, 0), np.int64)]
+    if len(automaton):
+        width = codes.shape[1] + 1  # a code that no passage has parts the stretches
+        for lo in range(0, len(ids), 4000):
+            flat = np.zeros((len(codes[lo : lo + 4000]), width), np.uint32)
+            flat[:, :-1] = codes[lo : lo + 4000]
+            hits = np.array(list(automaton.iter(tuple(flat.ravel().tolist()))), np.int64).reshape(-1, 2)
+            if not len(hits):
                 continue
-            key = mix64(sums[whole, s + min_words] - sums[whole, s] + a[whole])
-            order = np.argsort(key)
-            key, at = key[order], whole[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            several = np.minimum.reduceat(ids[at], first) != np.maximum.reduceat(ids[at], first)
-            shared = at[np.repeat(several, np.diff(first, append=len(at)))]
-            lo[shared] = np.minimum(lo[shared], s)
-            hi[shared] = s
-        found = np.flatnonzero(hi >= 0)
-        if not len(found):
-            return None
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        seen = set()
-        for i in found.tolist():
-            passage = codes[i, lo[i] : hi[i] + min_words]
-            if (raw := passage.tobytes()) not in seen:
-                seen.add(raw)
-                automaton.add_word(tuple(passage.tolist()), len(passage))
-        automaton.make_automaton()
-        out = []
-        for i in found.tolist():  # a stretch without a confirmed window can't hold a passage
-            own: list[tuple[int, int]] = []
-            end = 0
-            for last, length in automaton.iter(tuple(codes[i].tolist())):
-                if last < end:  # shorter than the one before, with the same end
-                    continue
-                end = last + 1
-                begin = end - length
-                while own and begin <= own[-1][1]:
-                    begin = min(begin, own.pop()[0])
-                own.append((begin, end))
-            out += [(ids[i], starts[i] + begin, starts[i] + end) for begin, end in own]
-        cols = np.array(out, np.int64).reshape(-1, 3).T
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "a", "b"])
+            end = hits[:, 0] + 1
+            begin = end - hits[:, 1]
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], np.maximum.accumulate(end[order])
+            # stretches don't touch, as the code between them is in no passage
+            first = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+            last = np.append(first[1:], len(end)) - 1
+            row = begin[first] // width
+            at = starts[lo + row] - row * width
+            out.append(np.stack([ids[lo + row], at + begin[first], at + end[last]]))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["doc_id", "a", "b"])
+
+
+def confirmed(a: np.ndarray, ids: np.ndarray, codes: np.ndarray, min_words: int) -> list[np.ndarray]:
+    """Passages of whole anchor groups: runs of windows that two documents have."""
+    n, width = codes.shape
+    windows = width - min_words + 1
+    wide = mix64(codes.astype(np.uint64) + np.uint64(1 << 32))
+    wide[codes == 0] = 0
+    empty = np.concatenate([np.zeros((n, 1), np.int32), np.cumsum(codes == 0, axis=1, dtype=np.int32)], axis=1)
+    lo = np.full(n, windows, np.int64)
+    hi = np.full(n, -1, np.int64)
+    # windows are only compared at the same place of a stretch, so sums need no common scale
+    sums = np.zeros((n, width + 1), np.uint64)
+    np.cumsum(wide * powers(width), axis=1, out=sums[:, 1:])
+    rows = np.arange(n)
+    for s in range(windows):
+        whole = rows[empty[:, s + min_words] == empty[:, s]]
+        if not len(whole):
+            continue
+        key = mix64(sums[whole, s + min_words] - sums[whole, s] + a[whole])
+        order = np.argsort(key)
+        key, at = key[order], whole[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = np.minimum.reduceat(ids[at], first) != np.maximum.reduceat(ids[at], first)
+        shared = at[np.repeat(several, np.diff(first, append=len(at)))]
+        lo[shared] = np.minimum(lo[shared], s)
+        hi[shared] = s
+    # a stretch's windows all hold its anchor, so between its first and last one nothing is uncovered
+    return [codes[i, lo[i] : hi[i] + min_words] for i in np.flatnonzero(hi >= 0).tolist()]
+
+
+def _columns(batch: pa.RecordBatch, width: int) -> tuple:
+    """(a, ids, starts, codes) of a batch of stretches."""
+    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint32).reshape(-1, width)
+    return (batch.column("a").to_numpy(zero_copy_only=False).view(np.uint64), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "begin")), codes)
+
+
+def _locate(min_words: int, width: int):
+    """Occurrences in stretches sorted by anchor, shard by shard of whole anchor groups."""
+
+    def shard(held: list[tuple]) -> pa.RecordBatch:
+        a, ids, starts, codes = (np.concatenate(x) for x in zip(*held))
+        return located(compiled(confirmed(a, ids, codes, min_words)), ids, starts, codes)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -137,20 +179,49 @@ def _locate(min_words: int, width: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, ids, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(len(a), width)
-            if size >= BLOCK:  # up to the last anchor, whose group may go on
-                cut = int(np.argmax(a != held[-1][0][-1])) if a[0] != held[-1][0][-1] or (a != a[0]).any() else None
-                if cut is not None:
-                    held.append((a[:cut].view(np.uint64), ids[:cut], starts[:cut], codes[:cut]))
-                    if (made := spans(*(np.concatenate(x) for x in zip(*[(h[0].view(np.uint64), *h[1:]) for h in held])))) is not None:
-                        yield made
-                    held, size = [], 0
-                    a, ids, starts, codes = a[cut:], ids[cut:], starts[cut:], codes[cut:]
-            held.append((a, ids, starts, codes))
-            size += len(a)
-        if held and (made := spans(*(np.concatenate(x) for x in zip(*[(h[0].view(np.uint64), *h[1:]) for h in held])))) is not None:
-            yield made
+            cols = _columns(batch, width)
+            other = np.flatnonzero(cols[0] != held[-1][0][-1]) if held else []
+            if size >= SHARD and len(other):  # up to the last anchor, whose group ends here
+                cut = int(other[0])
+                held.append(tuple(c[:cut] for c in cols))
+                yield shard(held)
+                held, size, cols = [], 0, tuple(c[cut:] for c in cols)
+            held.append(cols)
+            size += len(cols[0])
+        if held:
+            yield shard(held)
+
+    return locate
+
+
+def _locate_salted(width: int, min_words: int):
+    """Occurrences in stretches sorted by (anchor, salt), the anchor's passages first."""
+
+    def shard(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        known = rows.filter(rows.column("begin").is_null())
+        passages = np.frombuffer(b"".join(known.column("codes").to_pylist()), np.uint32).reshape(-1, min_words)
+        for batch in rows.filter(rows.column("begin").is_valid()).to_batches(max_chunksize=SHARD):
+            _, ids, starts, codes = _columns(batch, width)
+            for lo in range(0, len(passages), SHARD):
+                yield located(compiled(list(passages[lo : lo + SHARD])), ids, starts, codes)
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "salt"))
+            cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), len(a)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held and key != (a[lo], salt[lo]):
+                    yield from shard(held)
+                    held = []
+                key = a[lo], salt[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from shard(held)
 
     return locate
 
@@ -161,53 +232,106 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Word offsets count from 0; ``end_word`` is exclusive.  A document has several rows
     when it has several spans.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     side = min_words - k
     width = side + min_words
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("array<struct<a:bigint,n:bigint>>")
     def selected(texts: pa.Array) -> pa.Array:
-        out: list[np.ndarray] = []
+        sizes, out = [0], [np.zeros((2, 0), np.int64)]
         for _, words, offsets in word_hashes(texts):
             at, grams = anchors(words, offsets, min_words, k)
             cuts = np.searchsorted(at, offsets)
-            out += [np.unique(grams[x:y]).view(np.int64) for x, y in zip(cuts[:-1], cuts[1:])]
-        return pa.array(out, pa.list_(pa.int64()))
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                a, n = np.unique(grams[x:y], return_counts=True)
+                out.append(np.stack([a.view(np.int64), n]))
+                sizes.append(len(a))
+        a, n = np.concatenate(out, axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(n)], ["a", "n"]))
 
-    all_anchors = own.select("doc_id", F.explode(selected("text")).alias("a"))
-    shared = all_anchors.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a")
-    table = own.sparkSession.sparkContext.broadcast(_bits_of(shared))
+    all_anchors = own.select("doc_id", F.inline(selected("text")))
+    shared = all_anchors.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.sum("n").alias("n")).where("x < y").select("a", "n")
+    shared = stored(shared, "shared-anchors")
+    n, total = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = shared.where(F.col("n") > max(HOT, total // MAX_HOT))
+    hot_rows = hot.toArrow()
+    order = np.argsort(hot_rows.column("a").to_numpy().view(np.uint64))
+    hot_keys = hot_rows.column("a").to_numpy().view(np.uint64)[order]
+    hot_salts = 1 + hot_rows.column("n").to_numpy()[order] // SHARD
+    few = 8 * n <= MAX_BITS
+    context = own.sparkSession.sparkContext
+    table = context.broadcast((_Bits(shared, n) if few else None, hot_keys, hot_salts))
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _hot(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = table.value[1]
+        if not len(keys):
+            return np.zeros(len(grams), bool), np.zeros(len(grams), np.int64)
+        place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        return keys[place] == grams, place
+
+    def stretches(salted: bool):
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, _, salts = table.value
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for first, words, offsets in word_hashes(batch.column(1)):
+                    at, grams = anchors(words, offsets, min_words, k)
+                    is_hot, place = _hot(grams)
+                    keep = is_hot if salted else ~is_hot & bits.has(grams) if bits else ~is_hot
+                    at, grams, place = at[keep], grams[keep], place[keep]
+                    if not len(at):
+                        continue
+                    row = np.searchsorted(offsets, at, "right") - 1
+                    codes = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
+                    salt = (mix64(ids[first + row].astype(np.uint64) + at.astype(np.uint64)) % salts[place].astype(np.uint64)).astype(np.int32) if salted else np.zeros(len(at), np.int32)
+                    for lo in range(0, len(at), 5000):
+                        part = slice(lo, lo + 5000)
+                        spot = at[part, None] - side + np.arange(width)
+                        inside = (spot >= offsets[row[part]][:, None]) & (spot < offsets[row[part] + 1][:, None])
+                        around = np.where(inside, codes[np.clip(spot, 0, len(codes) - 1)], np.uint32(0))
+                        begin = at[part] - side - offsets[row[part]]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(grams[part].view(np.int64)), pa.array(salt[part]), pa.array(ids[first + row[part]]), pa.array(begin), binary_array(around)], ["a", "salt", "doc_id", "begin", "codes"]
+                        )
+
+        return cut
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct windows of a chunk that select a hot anchor, and the least and greatest id that has them."""
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, words, offsets in word_hashes(batch.column(1)):
-                at, grams = anchors(words, offsets, min_words, k)
-                keep = _has(table.value, grams)
-                at, grams = at[keep], grams[keep]
-                if not len(at):
+                starts, at, grams = selections(words, offsets, min_words, k)
+                keep = _hot(grams[at])[0] if len(at) else np.zeros(0, bool)
+                starts, at = starts[keep], at[keep]
+                if not len(starts):
                     continue
-                row = np.searchsorted(offsets, at, "right") - 1
+                row = ids[first + np.searchsorted(offsets, starts, "right") - 1]
                 codes = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
-                for lo in range(0, len(at), 5000):
-                    part = slice(lo, lo + 5000)
-                    place = at[part, None] - side + np.arange(width)
-                    own_row = (place >= offsets[row[part]][:, None]) & (place < offsets[row[part] + 1][:, None])
-                    around = np.where(own_row, codes[np.clip(place, 0, len(codes) - 1)], np.uint32(0))
-                    begin = at[part] - side - offsets[row[part]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams[part].view(np.int64)), pa.array(ids[first + row[part]]), pa.array(begin), binary_array(around)], ["a", "doc_id", "begin", "codes"]
-                    )
-
-    met = own.mapInArrow(stretches, "a bigint, doc_id bigint, begin bigint, codes binary")
-    found = met.repartition("a").sortWithinPartitions("a").mapInArrow(_locate(min_words, width), "doc_id bigint, a bigint, b bigint")
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("s"))
-    merged = F.aggregate(
-        F.sort_array("s"),
-        F.array().cast("array<struct<a:bigint,b:bigint>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["b"] >= x["a"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], x["b"]).alias("b")))),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    return spans.select("doc_id", F.explode(merged).alias("m")).select("doc_id", F.col("m.a").alias("first_word"), F.col("m.b").alias("end_word"))
+                key = np.zeros(len(starts), np.uint64)
+                for j, p in enumerate(powers(min_words)):
+                    key += words[starts + j] * p
+                order = np.lexsort((row, key))
+                key, row, starts, at = key[order], row[order], starts[order], at[order]
+                one = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                last = np.append(one[1:], len(key)) - 1
+                for lo in range(0, len(one), 5000):
+                    part = one[lo : lo + 5000]
+                    around = codes[starts[part, None] + np.arange(min_words)]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[at[part]].view(np.int64)), binary_array(around), pa.array(row[part]), pa.array(row[last[lo : lo + 5000]])], ["a", "codes", "x", "y"])
+
+    kind = "a bigint, salt int, doc_id bigint, begin bigint, codes binary"
+    met = own.mapInArrow(stretches(False), kind)
+    if not few:
+        met = met.join(shared.select("a"), "a", "left_semi")
+    spans = met.repartition("a").sortWithinPartitions("a").mapInArrow(_locate(min_words, width), "doc_id bigint, a bigint, b bigint")
+    if len(hot_keys):
+        counted = own.mapInArrow(windows, "a bigint, codes binary, x bigint, y bigint").groupBy("a", "codes").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+        passages = counted.where("x < y").join(hot, "a")
+        passages = passages.select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / SHARD).cast("int"))).alias("salt"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("begin"), "codes")
+        met = passages.unionByName(own.mapInArrow(stretches(True), kind)).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("begin").isNotNull())
+        spans = spans.unionByName(met.mapInArrow(_locate_salted(width, min_words), "doc_id bigint, a bigint, b bigint"))
+    by_place = Window.partitionBy("doc_id").orderBy("a", "b")
+    before = F.max("b").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(before >= F.col("a"), 0).otherwise(1)).withColumn("span", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("doc_id", "span").agg(F.min("a").alias("first_word"), F.max("b").alias("end_word")).drop("span")

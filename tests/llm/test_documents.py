@@ -269,7 +269,8 @@ def spans(rows, least=50):
     return sorted(out)
 
 
-def test_repeated_passages(spark, odd):
+@pytest.fixture(scope="module")
+def repeating():
     rng = random.Random(7)
     shared = [prose(rng, n) for n in (49, 50, 51, 80, 140, 300)]
     rows = []
@@ -278,13 +279,39 @@ def test_repeated_passages(spark, odd):
         for _ in range(i % 4):
             parts += [rng.choice(shared), prose(rng, rng.randint(0, 60))]
         rows.append((i, " ".join(parts)))
-    rows += [(60, rows[3][1]), (61, shared[4]), (62, "same " * 200), (63, "same " * 120)]
-    got = substring_dedup.repeated_passages(frame(spark, rows))
-    assert pairs(got, "doc_id", "first_word", "end_word") == spans(rows)
+    # a left and a right part that recur in different documents
+    long = prose(rng, 90).split()
+    rows += [(70, " ".join(long)), (71, " ".join(long[:60])), (72, " ".join(long[35:]))]
+    return rows + [(60, rows[3][1]), (61, shared[4]), (62, "same " * 200), (63, "same " * 120)]
+
+
+@pytest.mark.parametrize("hot", [None, 5, 0])
+def test_repeated_passages(spark, odd, repeating, monkeypatch, hot):
+    """With a low bound, anchors that many documents have, or all, take the salted way."""
+    if hot is not None:
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        monkeypatch.setattr(substring_dedup, "SHARD", 20)
+    got = substring_dedup.repeated_passages(frame(spark, repeating))
+    assert pairs(got, "doc_id", "first_word", "end_word") == spans(repeating)
     assert pairs(substring_dedup.repeated_passages(odd), "doc_id") == []
     assert substring_dedup.repeated_passages(odd.where("false")).count() == 0
 
 
+def test_passage_of_very_many_documents(spark):
+    rng = random.Random(17)
+    notice = prose(rng, 70)
+    rows = [(i, f"{prose(rng, rng.randint(0, 12))} {notice} {prose(rng, 5)}") for i in range(2600)]
+    got = pairs(substring_dedup.repeated_passages(frame(spark, rows)), "doc_id", "first_word", "end_word")
+    at = [len(t.split()) - 75 for _, t in rows]
+    assert [g[0] for g in got] == list(range(2600)) and all(a <= n and e >= n + 70 for (_, a, e), n in zip(got, at))
+
+
+def test_automata_locate(spark, repeating, monkeypatch):
+    """Without their words the automata find nothing, so nothing else can tell where passages are."""
+    monkeypatch.setattr(substring_dedup, "compiled", lambda passages: substring_dedup.ahocorasick.Automaton())
+    assert substring_dedup.repeated_passages(frame(spark, repeating)).count() == 0
+
+
 # ------------------------------------------------------------ 6 packing
 
 
