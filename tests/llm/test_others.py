@@ -39,24 +39,52 @@ def test_neighbours(spark):
     assert sorted((r["vec_id"], r["neighbour"]) for r in few.collect()) == [(a, b) for a in range(3) for b in range(3) if a != b]
 
 
-def test_neighbours_of_a_rare_cluster(spark):
-    """Many blocks of tight clusters, and 30 rows that are near one another but far apart on a curve."""
-    rng = np.random.default_rng(4)
-    centres = rng.standard_normal((200, 64))
-    bulk = centres[rng.integers(0, 200, 16_000)] + 0.1 * rng.standard_normal((16_000, 64))
-    rare = rng.standard_normal(64) + rng.standard_normal((30, 64))
-    x = np.concatenate([bulk, rare]).astype(np.float32)
+def recalls(spark, x, asked, **options):
+    """Share of the true ten that each asked row got, and all rows of the result."""
     table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>")
-    asked = [*range(0, 16_000, 40), *range(16_000, 16_030)]
-    got = {}
-    for r in neighbours.nearest_neighbours(table).where(F.col("vec_id").isin(asked)).collect():
-        got.setdefault(r["vec_id"], set()).add(r["neighbour"])
+    rows = neighbours.nearest_neighbours(table, asked=F.col("vec_id").isin(asked), **options).collect()
+    got = {i: [] for i in asked}
+    for r in sorted(rows, key=lambda r: (r["vec_id"], r["rank"])):
+        got[r["vec_id"]].append(r["neighbour"])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit[asked] @ unit.T
     near[np.arange(len(asked)), asked] = -2
     true = np.argsort(-near, axis=1)[:, :10].tolist()
-    recall = np.array([len(got[i] & set(t)) / 10 for i, t in zip(asked, true)])
-    assert recall[:400].mean() > 0.999 and recall[400:].mean() > 0.999
+    return np.array([len(set(got[i]) & set(t)) / 10 for i, t in zip(asked, true)]), got
+
+
+def test_neighbours_follow_the_curves(spark, monkeypatch):
+    """Many partitions of narrow windows: the curves' order decides, and flat keys fail."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((200, 64))
+    bulk = centres[rng.integers(0, 200, 22_000)] + 0.5 * rng.standard_normal((22_000, 64))
+    rare = 2 * rng.standard_normal(64) + rng.standard_normal((30, 64))  # near one another, far from all
+    x = np.concatenate([bulk, rare]).astype(np.float32)
+    asked = [*range(0, 22_000, 50), *range(22_000, 22_030)]
+    windows, fit = [], neighbours.fitted_window
+    monkeypatch.setattr(neighbours, "fitted_window", lambda *a: windows.append(fit(*a)) or windows[-1])
+    monkeypatch.setattr(neighbours, "PART_ROWS", 4000)
+    found, got = recalls(spark, x, asked)
+    assert all(len(v) == len(set(v)) == 10 and i not in v for i, v in got.items())
+    assert found[:440].mean() >= 0.9 and found[440:].mean() >= 0.9 and windows[0] < 3000
+    bases = neighbours.curve_bases
+    monkeypatch.setattr(neighbours, "curve_bases", lambda *a: [(0 * axes, corner, scale) for axes, corner, scale in bases(*a)])
+    flat, _ = recalls(spark, x, asked)
+    assert flat[:440].mean() < 0.5
+
+
+def test_neighbours_of_copies(spark):
+    """A third of the rows share a vector; equal similarities go to the lower ids."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    x[::3] = x[0]
+    table = spark.createDataFrame(list(enumerate(x.tolist())) + [(0, x[0].tolist())], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest_neighbours(table, asked=F.col("vec_id") % 50 == 0).orderBy("rank").collect():
+        got.setdefault(r["vec_id"], []).append((r["neighbour"], r["similarity"]))
+    assert set(got) == set(range(0, 3000, 50))
+    for i in range(0, 3000, 150):
+        assert [n for n, _ in got[i]] == [n for n in range(0, 33, 3) if n != i][:10] and {s for _, s in got[i]} == {1.0}
 
 
 def test_neighbours_of_an_id_with_many_vectors(spark):
@@ -77,12 +105,6 @@ def test_neighbours_of_an_id_with_many_vectors(spark):
         assert sorted(got[i]) == sorted(np.argsort(-item[i])[:10].tolist())
 
 
-def test_neighbour_merge_keeps_ids_once():
-    a, b = (np.array([[0.9, 0.8]]), np.array([[1, 2]])), (np.array([[0.95, 0.5]]), np.array([[1, 3]]))
-    scores, near = neighbours._merge(a, b, 3)
-    assert scores.tolist() == [[0.95, 0.8, 0.5]] and near.tolist() == [[1, 2, 3]]
-
-
 def test_chats(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 0, 1, 2]), rng.choice([None, "user", "assistant"]), rng.choice([None, "", "hé\n<|im_end|>", "東京", "x" * 300_000]), "t") for _ in range(60)]
