@@ -192,44 +192,62 @@ def test_language_held_out(spark, odd):
 
 
 def groups(rows, k=3, threshold=0.5):
-    sets = {}
+    """Brute force: (doc_id, class_id, n_links, n_copies)."""
+    ids = {}
     for i, t in rows:
         words = WORD.findall((t or "").lower())
         if i is not None and words:
             n = min(k, len(words))
-            sets.setdefault(i, set()).update(tuple(words[j : j + n]) for j in range(len(words) - n + 1))
-    root = {i: i for i in sets}
+            ids.setdefault(frozenset(tuple(words[j : j + n]) for j in range(len(words) - n + 1)), set()).add(i)
+    root = {i: i for own in ids.values() for i in own}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    ids = sorted(sets)
-    for x, i in enumerate(ids):
-        for j in ids[x + 1 :]:
-            if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return sorted((i, find(i)) for i in ids if find(i) != i)
-
-
-def test_near_duplicates(spark, odd):
+    sets, links = list(ids), {}
+    for x, a in enumerate(sets):
+        for b in sets[x:]:
+            if a == b or len(a & b) >= threshold * len(a | b):
+                if a != b:
+                    links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+                for i in ids[a]:
+                    for j in ids[b]:
+                        lo, hi = sorted((find(i), find(j)))
+                        root[hi] = lo
+    size = {}
+    for i in root:
+        size[find(i)] = size.get(find(i), 0) + 1
+    own = {i: [s for s in sets if i in ids[s]] for i in root}
+    return sorted((i, find(i), sum(links.get(s, 0) for s in own[i]), max(len(ids[s]) for s in own[i])) for i in root if size[find(i)] > 1)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_near_duplicates(spark, odd, monkeypatch, split):
+    if split:  # buckets and components in blocks
+        monkeypatch.setattr(near_dup, "BUCKET", 3)
+        monkeypatch.setattr(near_dup, "COMPONENT", 4)
     rng = random.Random(5)
     rows = []
     for i in range(25):
         base = prose(rng, rng.randint(30, 200)).split()
         rows.append((len(rows), " ".join(base)))
-        for _ in range(i % 4):
+        for _ in range(14 if i == 7 else i % 4):
             copy = list(base)
             for _ in range(len(copy) // 40):
                 copy[rng.randrange(len(copy))] = "changed"
             rows.append((len(rows), " ".join(copy)))
     rows += [(len(rows) + j, rows[0][1]) for j in range(30)]
+    x, y, z = (prose(rng, 40) for _ in range(3))
+    rows += [(900, x), (905, x), (905, y), (903, y), (906, z), (906, z + " more"), (907, z), (908, prose(rng, 9)), (908, prose(rng, 9))]
+    rows += [(900, x)] * 3
     rng.shuffle(rows)
     got = near_dup.near_duplicates(frame(spark, rows))
-    assert pairs(got, "doc_id", "duplicate_of") == groups(rows)
-    assert pairs(near_dup.near_duplicates(odd), "doc_id", "duplicate_of") == []
+    want = groups(rows)
+    assert {(903, 900), (905, 900)} <= {w[:2] for w in want} and 908 not in {w[0] for w in want}
+    assert pairs(got, "doc_id", "class_id", "n_links", "n_copies") == want
+    assert pairs(near_dup.near_duplicates(odd), "doc_id") == []
     assert near_dup.near_duplicates(odd.where("false")).count() == 0
 
 
