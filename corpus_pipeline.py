@@ -29,8 +29,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    return docs.join(near_dup.near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document of the least id of each near-duplicate group."""
+    copies = near_dup.near_duplicates(docs).where("doc_id != class_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
