@@ -8,7 +8,7 @@ another document.  All of it works on word hashes:
    text without an anchor that another document has can't hold a passage.
 2. Anchors that only one document has are dropped, by a bit table sized from the number
    of the others (beyond 128 MB, by a join).
-3. The surroundings of the others (every window that holds the anchor) are the stretches
+3. The surroundings of the others (every window that selects the anchor) are the stretches
    of a document.  They go to the shard of their anchor, where windows found in two
    documents are confirmed; runs of confirmed windows are the shard's passages.
 4. The distinct passages are compiled into the shard's automaton over 32-bit word codes,
@@ -42,7 +42,7 @@ from sparklex.llm.shared import stored
 from sparklex.llm.text import binary_array, mix64, powers, word_hashes
 
 MAX_BITS = 1 << 30  # of the anchor table
-SHARD = 20_000  # stretches an automaton is compiled for
+SHARD = 10_000  # stretches an automaton is compiled for
 HOT = 2_000  # occurrences of an anchor beyond which it takes the salted way
 MAX_HOT = 1_000_000  # anchors that can: with more, the bound rises
 
@@ -71,11 +71,12 @@ def selections(words: np.ndarray, offsets: np.ndarray, min_words: int, k: int) -
     return np.flatnonzero(inside), at, grams
 
 
-def anchors(words: np.ndarray, offsets: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors selected in a chunk of documents."""
-    _, at, grams = selections(words, offsets, min_words, k)
-    at = np.unique(at)
-    return at, grams[at]
+def anchors(words: np.ndarray, offsets: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes) of the anchors selected in a chunk of documents, and where the windows that select each begin and end."""
+    starts, at, grams = selections(words, offsets, min_words, k)
+    at, first = np.unique(at, return_index=True)  # windows that select an anchor follow one another
+    last = np.append(first, len(starts))[1:] - 1
+    return at, grams[at], starts[first], starts[last] + min_words
 
 
 class _Bits:
@@ -107,36 +108,38 @@ def compiled(passages: list[np.ndarray]) -> ahocorasick.Automaton:
     return automaton
 
 
-def located(automaton: ahocorasick.Automaton, ids: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-    """(doc_id, a, b): where stretches hold passages, overlaps of a stretch merged."""
+def located(automaton: ahocorasick.Automaton, codes: np.ndarray) -> np.ndarray:
+    """(row, begin, end): where stretches hold passages, overlaps of a stretch merged."""
     out = [np.zeros((3, 0), np.int64)]
     if len(automaton):
-        width = codes.shape[1] + 1  # a code that no passage has parts the stretches
-        for lo in range(0, len(ids), 4000):
-            flat = np.zeros((len(codes[lo : lo + 4000]), width), np.uint32)
-            flat[:, :-1] = codes[lo : lo + 4000]
-            hits = np.array(list(automaton.iter(tuple(flat.ravel().tolist()))), np.int64).reshape(-1, 2)
+        for lo in range(0, len(codes), 4000):
+            part = np.pad(codes[lo : lo + 4000], ((0, 0), (0, 1)))
+            # of zeros, a code that no passage has, one stays to part the stretches
+            place = np.flatnonzero((part > 0) | (np.arange(part.shape[1]) == part.shape[1] - 1))
+            hits = np.array(list(automaton.iter(tuple(part.ravel()[place].tolist()))), np.int64).reshape(-1, 2)
             if not len(hits):
                 continue
-            end = hits[:, 0] + 1
+            end = place[hits[:, 0]] + 1
             begin = end - hits[:, 1]
             order = np.argsort(begin, kind="stable")
             begin, end = begin[order], np.maximum.accumulate(end[order])
             # stretches don't touch, as the code between them is in no passage
             first = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
             last = np.append(first[1:], len(end)) - 1
-            row = begin[first] // width
-            at = starts[lo + row] - row * width
-            out.append(np.stack([ids[lo + row], at + begin[first], at + end[last]]))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["doc_id", "a", "b"])
+            row = begin[first] // part.shape[1]
+            at = row * part.shape[1]
+            out.append(np.stack([lo + row, begin[first] - at, end[last] - at]))
+    return np.concatenate(out, axis=1)
 
 
-def confirmed(a: np.ndarray, ids: np.ndarray, codes: np.ndarray, min_words: int) -> list[np.ndarray]:
-    """Passages of whole anchor groups: runs of windows that two documents have."""
+def confirmed(a: np.ndarray, least: np.ndarray, most: np.ndarray, codes: np.ndarray, min_words: int) -> list[np.ndarray]:
+    """Passages of whole anchor groups: runs of windows that two documents have.
+
+    Stretches are distinct; ``least`` and ``most`` are the ids of the documents that have each.
+    """
     n, width = codes.shape
     windows = width - min_words + 1
-    wide = mix64(codes.astype(np.uint64) + np.uint64(1 << 32))
-    wide[codes == 0] = 0
+    wide = _wide(codes)
     empty = np.concatenate([np.zeros((n, 1), np.int32), np.cumsum(codes == 0, axis=1, dtype=np.int32)], axis=1)
     lo = np.full(n, windows, np.int64)
     hi = np.full(n, -1, np.int64)
@@ -152,7 +155,7 @@ def confirmed(a: np.ndarray, ids: np.ndarray, codes: np.ndarray, min_words: int)
         order = np.argsort(key)
         key, at = key[order], whole[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        several = np.minimum.reduceat(ids[at], first) != np.maximum.reduceat(ids[at], first)
+        several = np.minimum.reduceat(least[at], first) != np.maximum.reduceat(most[at], first)
         shared = at[np.repeat(several, np.diff(first, append=len(at)))]
         lo[shared] = np.minimum(lo[shared], s)
         hi[shared] = s
@@ -160,6 +163,34 @@ def confirmed(a: np.ndarray, ids: np.ndarray, codes: np.ndarray, min_words: int)
     return [codes[i, lo[i] : hi[i] + min_words] for i in np.flatnonzero(hi >= 0).tolist()]
 
 
+def _wide(codes: np.ndarray) -> np.ndarray:
+    wide = mix64(codes.astype(np.uint64) + np.uint64(1 << 32))
+    wide[codes == 0] = 0
+    return wide
+
+
+class _Stretches:
+    """Stretches of which equal ones are held, confirmed and streamed once."""
+
+    def __init__(self, a: np.ndarray, ids: np.ndarray, starts: np.ndarray, codes: np.ndarray):
+        key = mix64((_wide(codes) * powers(codes.shape[1])).sum(1, dtype=np.uint64) + mix64(a))
+        order = np.lexsort((ids, key))
+        self.first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        self.size = np.diff(self.first, append=len(key))
+        self.ids, self.starts = ids[order], starts[order]
+        self.a, self.codes = a[order[self.first]], codes[order[self.first]]
+
+    def passages(self, min_words: int) -> list[np.ndarray]:
+        return confirmed(self.a, self.ids[self.first], self.ids[self.first + self.size - 1], self.codes, min_words)
+
+    def spans(self, automaton: ahocorasick.Automaton) -> pa.RecordBatch:
+        """(doc_id, a, b) of what all of them hold."""
+        row, begin, end = located(automaton, self.codes)
+        n = self.size[row]
+        at = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[at]), pa.array(self.starts[at] + np.repeat(begin, n)), pa.array(self.starts[at] + np.repeat(end, n))], ["doc_id", "a", "b"])
+
+
 def _columns(batch: pa.RecordBatch, width: int) -> tuple:
     """(a, ids, starts, codes) of a batch of stretches."""
     codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint32).reshape(-1, width)
@@ -170,8 +201,8 @@ def _locate(min_words: int, width: int):
     """Occurrences in stretches sorted by anchor, shard by shard of whole anchor groups."""
 
     def shard(held: list[tuple]) -> pa.RecordBatch:
-        a, ids, starts, codes = (np.concatenate(x) for x in zip(*held))
-        return located(compiled(confirmed(a, ids, codes, min_words)), ids, starts, codes)
+        own = _Stretches(*(np.concatenate(x) for x in zip(*held)))
+        return own.spans(compiled(own.passages(min_words)))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -202,9 +233,9 @@ def _locate_salted(width: int, min_words: int):
         known = rows.filter(rows.column("begin").is_null())
         passages = np.frombuffer(b"".join(known.column("codes").to_pylist()), np.uint32).reshape(-1, min_words)
         for batch in rows.filter(rows.column("begin").is_valid()).to_batches(max_chunksize=SHARD):
-            _, ids, starts, codes = _columns(batch, width)
+            own = _Stretches(*_columns(batch, width))
             for lo in range(0, len(passages), SHARD):
-                yield located(compiled(list(passages[lo : lo + SHARD])), ids, starts, codes)
+                yield own.spans(compiled(list(passages[lo : lo + SHARD])))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -240,7 +271,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def selected(texts: pa.Array) -> pa.Array:
         sizes, out = [0], [np.zeros((2, 0), np.int64)]
         for _, words, offsets in word_hashes(texts):
-            at, grams = anchors(words, offsets, min_words, k)
+            at, grams, _, _ = anchors(words, offsets, min_words, k)
             cuts = np.searchsorted(at, offsets)
             for x, y in zip(cuts[:-1], cuts[1:]):
                 a, n = np.unique(grams[x:y], return_counts=True)
@@ -275,10 +306,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for first, words, offsets in word_hashes(batch.column(1)):
-                    at, grams = anchors(words, offsets, min_words, k)
+                    at, grams, lo_word, hi_word = anchors(words, offsets, min_words, k)
                     is_hot, place = _hot(grams)
                     keep = is_hot if salted else ~is_hot & bits.has(grams) if bits else ~is_hot
-                    at, grams, place = at[keep], grams[keep], place[keep]
+                    at, grams, place, lo_word, hi_word = at[keep], grams[keep], place[keep], lo_word[keep], hi_word[keep]
                     if not len(at):
                         continue
                     row = np.searchsorted(offsets, at, "right") - 1
@@ -287,7 +318,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     for lo in range(0, len(at), 5000):
                         part = slice(lo, lo + 5000)
                         spot = at[part, None] - side + np.arange(width)
-                        inside = (spot >= offsets[row[part]][:, None]) & (spot < offsets[row[part] + 1][:, None])
+                        inside = (spot >= lo_word[part, None]) & (spot < hi_word[part, None])
                         around = np.where(inside, codes[np.clip(spot, 0, len(codes) - 1)], np.uint32(0))
                         begin = at[part] - side - offsets[row[part]]
                         yield pa.RecordBatch.from_arrays(
