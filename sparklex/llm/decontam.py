@@ -8,9 +8,11 @@ bit-parallel algorithm (on Python's long integers, so items of any length) gives
 least edit distance of the whole item to any substring there.
 
 Defined results: items that are null or hold no letter or digit match nothing; null
-and empty texts are never contaminated; items with the same text are all reported;
-rows that share an id are one document (its least distance counts); items of fewer
-characters than ``1 / error_rate`` must occur exactly.
+and empty texts are never contaminated; items with the same text are all reported, and
+rows that share an item id are all looked for; rows that share an id are one document
+(its least distance counts); items of fewer characters than ``1 / error_rate`` have no
+budget and must occur exactly and as whole words; an empty table, of documents or of
+items, gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklex.llm.shared import stored
+
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -103,7 +107,10 @@ class Matcher:
         found: dict[int, int] = {}
         for i, spans in windows.items():
             item_id, pattern, budget = self.items[i]
-            best = min(0 if pattern.item in (part := text[lo:hi]) else pattern.distance(part) for lo, hi in spans)
+            if budget:
+                best = min(0 if pattern.item in (part := text[lo:hi]) else pattern.distance(part) for lo, hi in spans)
+            else:  # short: whole words, or it would be found inside many
+                best = 0 if f" {pattern.item} " in f" {text} " else 1
             if best <= budget:
                 found[item_id] = min(best, found.get(item_id, best))
         return found
@@ -112,26 +119,30 @@ class Matcher:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, automaton_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, distance): every document that holds a test item within its budget.
 
-    The budget is ``error_rate`` times the item's normalised length.  Items are
-    broadcast in groups of at most ``automaton_chars`` characters (an automaton takes
-    some hundred bytes a character); each further group is another pass over the
-    documents, so a large benchmark costs time, not memory.
+    The budget is ``error_rate`` times the item's normalised length.  Items are spread by
+    a hash over groups of about ``automaton_chars`` characters (an automaton takes some
+    hundred bytes a character), of which only one at a time is on the driver and in
+    workers.  Each further group is another pass over the documents, whose hits are
+    written before the next begins, so a large benchmark costs time, not memory.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    groups: list[list[tuple[int, str]]] = [[]]
-    room = automaton_chars
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        item = normalise(row["t"])
-        if not item:
-            continue
-        if len(item) > room and groups[-1]:
-            groups.append([])
-            room = automaton_chars
-        groups[-1].append((row["i"], item))
-        room -= len(item)
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+
+    @F.arrow_udf("string")
+    def normal(texts: pa.Array) -> pa.Array:
+        return pa.array([normalise(t.as_py()) for t in texts], pa.string())
+
+    items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), normal(F.col(item_text)).alias("t")).where("i is not null and t != ''")
+    items = stored(items.distinct(), "benchmark-items")
+    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    groups = max(1, -(-total // automaton_chars))
     out = None
-    for items in groups:
-        found = own.select("doc_id", F.explode(_match_udf(own.sparkSession, items, error_rate)("text")).alias("m")).select("doc_id", "m.*")
+    for number in range(groups):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(groups)) == number).orderBy("i", "t").collect()
+        match, shared = _match_udf(own.sparkSession, [(r["i"], r["t"]) for r in part], error_rate)
+        found = own.select("doc_id", F.explode(match("text")).alias("m")).select("doc_id", "m.*")
+        if groups > 1:
+            found = stored(found, "contaminated")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
@@ -155,4 +166,4 @@ def _match_udf(spark, items: list[tuple[int, str]], error_rate: float):
             out.append([{"item_id": i, "distance": d} for i, d in matcher.matches(text).items()] if matcher and text else [])
         return pa.array(out, pa.list_(element))
 
-    return match.asNondeterministic()
+    return match.asNondeterministic(), shared
