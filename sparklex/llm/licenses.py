@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from sparklex.llm.text import word_hashes
 
+MAX_TEMPLATES = 100_000  # they are held by every worker
+
 #: name -> (notice, key phrases); a phrase's place is where the notice has it
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "MIT-notice": ("Released under the MIT License", ("under the MIT License",)),
     "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
         "to deal in the Software without restriction. The software is provided as is, without warranty of any kind.",
         ("Permission is hereby granted, free of charge", "in the Software without restriction"),
     ),
@@ -44,6 +46,22 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         ("Redistribution and use in source and binary forms", "are permitted provided that the following conditions"),
     ),
+    "BSD-2-Clause-end": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer",
+        ("Redistributions in binary form must reproduce the above copyright notice",),
+    ),
+    "BSD-3-Clause-end": (
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("nor the names of its contributors may be used to endorse or promote products derived from this software",),
+    ),
+    "Zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable", ("without any express or implied warranty", "In no event will the authors be held liable")),
+    "BSL-1.0-notice": ("Distributed under the Boost Software License, Version 1.0", ("Boost Software License",)),
+    "Artistic-2.0-notice": ("under the terms of the Artistic License 2.0", ("Artistic License 2",)),
+    "CDDL-notice": ("Common Development and Distribution License", ("Common Development and Distribution License",)),
+    "WTFPL-notice": ("Do What The Fuck You Want To Public License", ("Do What The Fuck You Want To Public License",)),
+    "OFL-notice": ("licensed under the SIL Open Font License, Version 1.1", ("SIL Open Font License",)),
+    "public-domain": ("dedicated to the public domain", ("to the public domain",)),
+    **{f"SPDX-{i}": (f"SPDX-License-Identifier: {i}", (f"SPDX-License-Identifier: {i}",)) for i in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC0-1.0", "CC-BY-4.0", "EPL-2.0", "Unlicense", "Zlib", "BSL-1.0")},
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         ("Source Code Form is subject to", "Mozilla Public License"),
@@ -140,13 +158,20 @@ class Index:
         return found
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, tuple[str, ...]]] | None = None, rare: int = 3, slack: int = 4) -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, tuple[str, ...]]] | DataFrame | None = None, rare: int = 3, slack: int = 4) -> DataFrame:
     """(doc_id, license, first_word): every notice of ``templates`` in every document.
 
     ``first_word`` is the least word offset of the notice at which all phrases stand
-    within ``slack`` words of their places; it can be below 0 by as much.
+    within ``slack`` words of their places; it can be below 0 by as much.  Templates can
+    also be a table (name, notice, phrases array) of at most MAX_TEMPLATES rows; there a
+    later row of the same name takes the place of an earlier one.
     """
     templates = TEMPLATES if templates is None else templates
+    if isinstance(templates, DataFrame):
+        rows = templates.select("name", "notice", "phrases").where("name is not null and notice is not null and size(phrases) > 0").orderBy("name", "notice").limit(MAX_TEMPLATES + 1).collect()
+        if len(rows) > MAX_TEMPLATES:
+            raise ValueError(f"more than {MAX_TEMPLATES} templates")
+        templates = {r["name"]: (r["notice"], tuple(r["phrases"])) for r in rows}
     made = [Template.of(name, *t) for name, t in sorted(templates.items())]
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     vocabulary = np.unique(np.concatenate([w for t in made for _, w in t.phrases] or [np.zeros(0, np.uint64)]))
