@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklex.llm.shared import stored
@@ -30,25 +30,41 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _encoders: dict[str, object] = {}
+_sent: dict[tuple[str, str], object] = {}
 
 
-def encoder(path: str):
-    """The byte-level BPE whose ranks ``path`` holds; built once in a worker."""
+def encoder(path: str, sent=None):
+    """The byte-level BPE whose ranks ``path`` holds; built once in a worker, of what the driver ``sent`` it."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        data = sent.value if sent else _read(path)
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
         _encoders[path] = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
+def _read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def sent_ranks(path: str):
+    """The tokenizer's file (some megabytes) as a broadcast, so that only the driver needs to have it."""
+    context = SparkSession.active().sparkContext
+    key = context.applicationId, path
+    if key not in _sent:
+        _sent[key] = context.broadcast(_read(path))
+    return _sent[key]
+
+
 def token_count(path: str):
     """Column function: how many tokens a text has; null texts have none."""
+    sent = sent_ranks(path)
 
     @F.arrow_udf("int")
     def count(texts: pa.Array) -> pa.Array:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path, sent).encode_ordinary
         return pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in texts], pa.int32())
 
     return count.asNondeterministic()

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow import orc
 from pyspark.sql import functions as F
 
 from sparklex.llm import decontam, language_id, licenses, line_dedup, near_dup, packing, substring_dedup, token_store
@@ -52,6 +53,29 @@ def test_token_round_trip(spark, odd, tmp_path):
     assert token_store.read_tokens(spark, path + "0").count() == 0
 
 
+def scanned(df):
+    """Rows of df, and how many the scan gave."""
+    rows = df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return rows, leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_token_store_prunes(spark, tmp_path):
+    """Integers by stripes of row groups, of which look-ups read one, or none where Bloom filters know better."""
+    path = str(tmp_path / "orc")
+    docs = spark.range(0, 70_000 * 7, 7).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), "id").alias("text"))
+    token_store.write_tokens(docs, path)
+    files = [orc.ORCFile(str(f)) for f in (tmp_path / "orc").glob("*.orc")]
+    assert sum(f.nrows for f in files) == 70_000
+    assert all(f.nstripes >= 1 and f.row_index_stride == 2000 and f.compression == "ZSTD" for f in files)
+    rows, n = scanned(token_store.read_tokens(spark, path, [7 * 12_345]))
+    assert [r["doc_id"] for r in rows] == [7 * 12_345] and n <= 2000
+    for missing in range(7 * 5000 + 1, 7 * 5000 + 7):  # inside the range of a row group
+        rows, n = scanned(token_store.read_tokens(spark, path, [missing]))
+        assert rows == [] and n == 0
+    assert "doc_id" in token_store.read_tokens(spark, path, [7])._jdf.queryExecution().toString().split("PushedFilters")[1]
+
+
 # ------------------------------------------------------------ 2 line dedup
 
 
@@ -188,6 +212,40 @@ def test_language_held_out(spark, odd):
     assert language_id.identify_languages(odd.where("false"), output="l").count() == 0
 
 
+def test_language_rejects_other_languages(spark):
+    """Fitted on enough short texts to know how near these are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit_on(docs)
+    other = [
+        "De kat slaapt op de bank terwijl de regen langzaam op straat valt en niemand vanavond het huis wil verlaten omdat het erg koud is",
+        "Kot spi na kanapie podczas gdy deszcz powoli pada na ulice i nikt nie chce dzis wieczorem wychodzic z domu bo jest bardzo zimno",
+        "Kissa nukkuu sohvalla kun sade lankeaa hitaasti kadulle eika kukaan halua lahtea kotoa tana iltana koska on hyvin kylma",
+        "xq zzkw vbnq wrtp lkjh gfds mnbv cxzq wwqp rrtk zzxv qqwp lmnb vckx jjhg ffds zxcq",
+    ]
+    assert not model.predict(pa.array(other))[2].any()
+    assert model.predict(pa.array(["the"]))[2].all()
+
+
+def test_language_is_the_nearest_centroid():
+    """Against cosines of one text at a time; ties and repeated rows."""
+    rng = random.Random(12)
+    kinds = {"a": "aeiou bcd", "b": "xyzuv wkl", "c": "mnopq rst"}
+    texts, labels = zip(*[("".join(rng.choice(kinds[k]) for _ in range(rng.randint(20, 400))), k) for k in "abc" * 40])
+    model = language_id.LanguageModel.fit(list(texts), list(labels))
+    best, cosine, kept = model.predict(pa.array([*texts, *texts[:3], None, ""]))
+    for i, text in enumerate(texts):
+        (_, counts), = language_id.term_counts(pa.array([text]))
+        v = [float(np.log1p(np.float32(c)) * w) for c, w in zip(counts[0], model.idf)]
+        norm = sum(x * x for x in v) ** 0.5
+        near = [sum(x * float(y) for x, y in zip(v, c)) / norm for c in model.centroids]
+        assert abs(max(near) - cosine[i]) < 1e-4 and near[best[i]] > max(near) - 1e-4
+    assert [model.labels[b] for b in best[:120]] == list(labels) and kept[:120].mean() > 0.97
+    assert best[120:123].tolist() == best[:3].tolist() and not kept[123:].any()
+    twice = language_id.LanguageModel.fit(["same words here"] * 4, ["b", "a", "b", "a"])
+    assert twice.labels[twice.predict(pa.array(["same words here"]))[0][0]] == "a"
+    assert not language_id.LanguageModel.fit([], []).predict(pa.array(["x y z"]))[2].any()
+
+
 # ------------------------------------------------------------ 4 near duplicates
 
 
@@ -345,9 +403,35 @@ def test_differencing_of_two():
         assert abs(sums[0] - sums[1]) == left[0]
 
 
+def test_differencing_of_several():
+    """Against lists of sums, merged largest onto smallest."""
+    rng = random.Random(22)
+    for n in (2, 3, 5, 8):
+        sizes = [rng.randint(1, 500) for _ in range(rng.randint(n, 60))]
+        heap = [(-s, i, [s] + [0] * (n - 1)) for i, s in enumerate(sizes)]
+        while len(heap) > 1:
+            heap.sort()
+            (_, _, a), (_, _, b), *heap = heap
+            c = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+            heap.append((c[-1] - c[0], len(sizes) + 1000 - len(heap), [x - c[-1] for x in c]))
+        sums = sorted(np.bincount(packing.difference(np.array(sizes), n), sizes, n), reverse=True)
+        assert [x - sums[-1] for x in sums] == heap[0][2]
+
+
+def test_windows_are_near_equal_and_rise():
+    rng = np.random.default_rng(23)
+    sizes = rng.integers(1, 900, 600)
+    loads = np.bincount(packing.pack(sizes, 4096), sizes)
+    assert loads.max() <= 4096 and loads.max() - loads.min() <= 0.02 * 4096
+    assert len(loads) <= -(-sizes.sum() // 4096) + 2
+    assert np.bincount(packing.pack(np.full(5, 4), 10), np.full(5, 4)).tolist() in ([8, 8, 4], [8, 4, 8], [4, 8, 8])  # 20 don't fit in 2 of 10
+    assert len(np.bincount(packing.pack(np.full(7, 6), 10))) == 7
+
+
 def test_packing(spark, odd):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.choice([1, 5, 40, 200, 3000]))) for i in range(120)]
+    rows += [(7, "another text of an id"), (8, rows[8][1])]
     docs = frame(spark, rows).union(odd)
     capacity = 1000
     got = packing.pack_documents(docs, capacity=capacity, block_tokens=60_000).collect()
@@ -388,7 +472,7 @@ def least_distance(item, text):
 
 def test_decontamination(spark, odd):
     rng = random.Random(8)
-    items = [(i, prose(rng, rng.randint(6, 25))) for i in range(8)] + [(8, "one"), (9, None), (10, "?!"), (None, "two")]
+    items = [(i, prose(rng, rng.randint(6, 25))) for i in range(8)] + [(8, "one"), (9, None), (10, "?!"), (None, "two"), (11, "red fox"), (11, "red fox")]
     rows = []
     for i in range(40):
         text = prose(rng, 30)
@@ -399,14 +483,18 @@ def test_decontamination(spark, odd):
                 own[at : at + 1] = rng.choice(["", "q", own[at] + "z"])
             text += " " + "".join(own).upper() + ", " + prose(rng, 20)
         rows.append((i, text))
+    rows += [(50, "someone and onerous"), (51, "No, ONE!"), (52, "a bored fox, a red foxglove"), (53, "a Red  Fox"), (53, "no fox")]
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
     want = []
     for i, t in rows:
         for k, item in items:
-            norm = decontam.normalise(item)
-            if k is not None and norm and (d := least_distance(norm, decontam.normalise(t))) <= int(len(norm) * 0.08):
+            norm, budget = decontam.normalise(item), int(len(decontam.normalise(item)) * 0.08)
+            if k is not None and norm and not budget and f" {norm} " in f" {decontam.normalise(t)} ":
+                want.append((i, k, 0))
+            elif k is not None and budget and (d := least_distance(norm, decontam.normalise(t))) <= budget:
                 want.append((i, k, d))
-    assert len(want) > 10
+    want = sorted(set(want))
+    assert len(want) > 10 and {w[:2] for w in want if w[0] > 49} == {(51, 8), (53, 11)}
     got = decontam.contaminated(frame(spark, rows), bench)
     assert pairs(got, "doc_id", "item_id", "distance") == sorted(want)
     several = decontam.contaminated(frame(spark, rows), bench, automaton_chars=100)
@@ -449,6 +537,18 @@ def test_licences(spark, odd):
     assert licenses.scan_licenses(odd).count() == 0
     assert licenses.scan_licenses(odd.where("false")).count() == 0
     assert licenses.scan_licenses(odd, templates={}).count() == 0
+    table = spark.createDataFrame([("own", "Use it freely but kindly", ["freely but kindly"]), ("own", None, ["x"]), (None, "a", ["a"]), ("none", "b", [])], "name string, notice string, phrases array<string>")
+    got = licenses.scan_licenses(frame(spark, [(1, "you may use it freely, but kindly."), (1, "more"), (2, "freely")]), templates=table)
+    assert pairs(got, "doc_id", "license") == [(1, "own")]
+
+
+def test_licence_texts(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+    of this software and associated documentation files (the "Software"), to deal
+    in the Software without restriction, including without limitation the rights to use"""
+    rows = [(1, mit), (2, "// SPDX-License-Identifier: MPL-2.0\nint x;"), (3, "# SPDX-License-Identifier: GPL-2.0-only"), (4, "Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software"), (5, "License-Identifier: MIT")]
+    got = pairs(licenses.scan_licenses(frame(spark, rows)), "doc_id", "license")
+    assert got == [(1, "MIT"), (2, "SPDX-MPL-2.0"), (3, "SPDX-GPL-2.0"), (4, "BSD-3-Clause-end")]
 
 
 def test_common_notices(spark):

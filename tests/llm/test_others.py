@@ -119,6 +119,21 @@ def test_chats(spark):
     assert chat.format_chats(turns.where("false")).count() == 0
 
 
+def test_chats_in_several_buffers(spark, monkeypatch):
+    """Small Arrow batches, and buffers of a few conversations, give the same strings."""
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 40), i, rng.choice(["user", "assistant"]), "é" * rng.choice([0, 3, 900, 40_000])) for i in range(300)]
+    rows += [(99, i, "user", "x" * 100_000) for i in range(30)]
+    want = {c: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for k, _, r, t in rows if k == c) for c in {r[0] for r in rows}}
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        monkeypatch.setattr(chat, "PART_BYTES", 50_000)
+        assert {r["conv_id"]: r["text"] for r in chat.format_chats(turns).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -162,3 +177,19 @@ def test_pipeline_drops_short_lines(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     want = {1: rows[0][1], 2: "second\n \n\t\r\n", 3: "Les.\nthird", 5: "\n\t"}
     assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_pipeline_clashing_columns(spark, corpus):
+    """Extra columns of names that stages use themselves, repeated rows, an id with two texts and a very long text."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    long = " ".join(r["text"] for r in docs.where("doc_id < 20").collect())
+    more = spark.createDataFrame([(3, "another text\nof that id", "en", "s", 1), (90, long * 40, "en", "s", 1)], COLUMNS)
+    names = ["language", "n_lines", "n_dropped", "__kept", "__done", "__id", "__th", "class_id", "n_links", "item_id", "distance", "n", "th", "component"]
+    docs = docs.union(docs.where("doc_id = 5")).union(more).withColumns({c: F.lit("mine") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, corpus).toArrow())
+        assert docs.columns == [*[c.split()[0] for c in COLUMNS.split(", ")], *names]
+        assert docs.where(" or ".join(f"{c} != 'mine'" for c in names)).count() == 0
+    assert docs.where("doc_id = 5").count() == 2
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, corpus)
+    assert rows.columns == ["window", "tokens", "doc_ids", "starts", "lengths"] and rows.count() > 0
