@@ -1,7 +1,7 @@
 """Lexical search and ranking on Spark DataFrames."""
 
 _HOME = {
-    **dict.fromkeys(("BM25", "BM25F", "BM25L", "AsyncBatchMixin", "BM25Adpt", "BM25Plus", "CompressedBM25", "InvertedIndex", "MmapBM25", "StreamingBM25Builder"), "models"),
+    **dict.fromkeys(("BM25", "BM25F", "BM25L", "AsyncBatchMixin", "BM25Adpt", "BM25Plus", "CompressedBM25", "InvertedIndex", "SortedPostings", "MmapBM25", "StreamingBM25Builder"), "models"),
     **dict.fromkeys(("ENGLISH_STOPWORDS", "Tokenizer"), "functions.tokenize"),
     "RRFScorer": "operators.fusion",
 }

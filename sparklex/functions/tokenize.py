@@ -5,6 +5,8 @@ Everything but user callables stays in the JVM.  Null texts have no tokens.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
@@ -45,6 +47,16 @@ def cased_tokens(text: Column) -> Column:
     return extract(CORE_PATTERN)(text)
 
 
+def host_tokens(tokenize: Any, text: str) -> list[str] | None:
+    """Tokens of one string on the driver, where that is sure to equal what Spark makes of it; else None."""
+    if isinstance(tokenize, Analyzer) and tokenize.base is None:
+        tokenize = core_tokens if tokenize.lowercase else cased_tokens
+    if tokenize not in (core_tokens, cased_tokens):
+        return None
+    found = re.findall(CORE_PATTERN, text)
+    return [t.lower() for t in found] if tokenize is core_tokens else found
+
+
 def casefold(token: Column) -> Column:
     """Lower case with sharp s written out, as full case folding does.
 
@@ -125,6 +137,9 @@ class Tokenizer:
 
     Modes: ``regex`` (``pattern``, in Java's dialect; with one group, that group),
     ``unicode_word`` and ``whitespace``.  Stemmed tokens are folded and filtered again.
+    ``exact_folding`` folds case by full Unicode rules, in Python; else by ``casefold``.
+
+    Called with a column it gives an expression; with a string, the list of its tokens.
     """
 
     mode: str
@@ -133,8 +148,9 @@ class Tokenizer:
     stopwords: frozenset[str]
     stemmer: Callable[[str], str] | None
     min_token_len: int
+    exact_folding: bool
 
-    def __init__(self, mode: str = "regex", *, pattern: str | None = None, lowercase: bool = True, stopwords: Any = None, extra_stopwords: Iterable[str] | None = None, stemmer: Callable[[str], str] | None = None, min_token_len: int = 1):
+    def __init__(self, mode: str = "regex", *, pattern: str | None = None, lowercase: bool = True, stopwords: Any = None, extra_stopwords: Iterable[str] | None = None, stemmer: Callable[[str], str] | None = None, min_token_len: int = 1, exact_folding: bool = False):
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
         if pattern is not None and mode != "regex":
@@ -143,15 +159,40 @@ class Tokenizer:
             raise ValueError("min_token_len is 1 at least")
         if stemmer is not None and not callable(stemmer):
             raise TypeError("stemmer is not callable")
-        made = {"mode": mode, "pattern": pattern or MODES[mode], "lowercase": lowercase, "stopwords": stopword_set(stopwords, extra_stopwords, lowercase), "stemmer": stemmer, "min_token_len": min_token_len}
+        made = {"mode": mode, "pattern": pattern or MODES[mode], "lowercase": lowercase, "stopwords": stopword_set(stopwords, extra_stopwords, lowercase), "stemmer": stemmer, "min_token_len": min_token_len, "exact_folding": exact_folding}
         for name, value in made.items():
             object.__setattr__(self, name, value)
 
-    def split(self, text: Column) -> Column:
-        import re
+    def _group(self) -> int:
+        groups = re.compile(self.pattern).groups if self.mode == "regex" else 0
+        if groups > 1:
+            raise TypeError("a pattern of several groups doesn't give strings")
+        return groups
 
-        group = min(1, re.compile(self.pattern).groups) if self.mode == "regex" else 0
-        return extract(self.pattern, group)(text)
+    def split(self, text: Column) -> Column:
+        return extract(self.pattern, self._group())(text)
+
+    def tokenize(self, text: str) -> list[str]:
+        """Tokens of one string, on the driver.
+
+        Patterns are read in Python's dialect here.
+        """
+        if not isinstance(text, str):
+            raise TypeError("a text is a string")
+        if self.mode == "whitespace":
+            tokens = text.split()
+        elif self.mode == "unicode_word":
+            tokens = [t for t in re.split(r"[^\w]+", "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in text)) if t]
+        else:
+            self._group()
+            tokens = re.findall(self.pattern, text)
+        tokens = self._kept(tokens)
+        return self._kept(checked_tokens(map(self.stemmer, tokens))) if self.stemmer else tokens
+
+    def _kept(self, tokens: list[str]) -> list[str]:
+        if self.lowercase:
+            tokens = [t.casefold() if self.exact_folding else t.lower().replace("ß", "ss") for t in tokens]
+        return [t for t in tokens if len(t) >= self.min_token_len and t not in self.stopwords]
 
     def process(self, tokens: Column) -> Column:
         """Case folding, filters and stemming of an array column."""
@@ -160,7 +201,7 @@ class Tokenizer:
 
     def _filtered(self, tokens: Column) -> Column:
         if self.lowercase:
-            tokens = F.transform(tokens, casefold)
+            tokens = exact_casefold(tokens) if self.exact_folding else F.transform(tokens, casefold)
         words = F.array(*map(F.lit, sorted(self.stopwords))) if self.stopwords else None
 
         def keep(t: Column) -> Column:
@@ -169,13 +210,13 @@ class Tokenizer:
 
         return F.filter(tokens, keep)
 
-    def __call__(self, text: Column) -> Column:
-        return self.process(self.split(text))
+    def __call__(self, text: Any) -> Any:
+        return self.tokenize(text) if isinstance(text, str) else self.process(self.split(text))
 
     def to_state(self) -> dict[str, Any]:
         if self.stemmer is not None:
             raise TypeError("a callable stemmer can't be saved")
-        return {"mode": self.mode, "pattern": self.pattern if self.mode == "regex" else None, "lowercase": self.lowercase, "stopwords": sorted(self.stopwords), "min_token_len": self.min_token_len}
+        return {"mode": self.mode, "pattern": self.pattern if self.mode == "regex" else None, "lowercase": self.lowercase, "stopwords": sorted(self.stopwords), "min_token_len": self.min_token_len, "exact_folding": self.exact_folding}
 
     @classmethod
     def from_state(cls, state: dict[str, Any]) -> Tokenizer:

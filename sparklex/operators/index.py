@@ -18,33 +18,75 @@ from sparklex.functions.tokenize import core_tokens
 
 @dataclass(frozen=True)
 class Index:
+    """Tables of an index.
+
+    ``terms`` and ``corpus`` hold statistics that were stored; without them they are
+    summed up when asked for.  ``dense``: the documents are 0 to dense - 1, those
+    without a row in doc_stats being empty.
+    """
+
     postings: DataFrame
     doc_stats: DataFrame
+    terms: DataFrame | None = None
+    corpus: DataFrame | None = None
+    dense: int | None = None
 
     def term_stats(self) -> DataFrame:
         """(term, df, cf)."""
+        if self.terms is not None:
+            return self.terms
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     def corpus_stats(self) -> DataFrame:
         """One row (n_docs, total_len)."""
-        return self.doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_len"))
+        if self.corpus is not None:
+            return self.corpus
+        n = F.count("*") if self.dense is None else F.lit(self.dense).cast("bigint")
+        return self.doc_stats.agg(n.alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_len"))
 
     def lookup(self, term: str) -> DataFrame:
         """Postings of one term."""
         return self.postings.where(F.col("term") == term)
 
+    def doc_ids(self) -> DataFrame:
+        """(doc_id) of every document."""
+        if self.dense is None:
+            return self.doc_stats.select("doc_id")
+        return self.postings.sparkSession.range(self.dense).withColumnRenamed("id", "doc_id")
+
+    def lowest(self, n: int) -> DataFrame:
+        """(doc_id) of the n lowest ids."""
+        if self.dense is None:
+            return self.doc_stats.select("doc_id").orderBy("doc_id").limit(n)
+        return self.postings.sparkSession.range(min(n, self.dense)).withColumnRenamed("id", "doc_id")
+
+    def explicit(self) -> Index:
+        """The index with a row of doc_stats for every document."""
+        if self.dense is None:
+            return self
+        rows = self.doc_ids().join(self.doc_stats, "doc_id", "left")
+        return Index(self.postings, rows.select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl")))
+
+    def checked(self) -> Index:
+        """Raises ValueError where two documents have one id."""
+        if not self.doc_stats.groupBy("doc_id").count().where("count > 1").isEmpty():
+            raise ValueError("a document id was given twice")
+        return self
+
     def persist(self) -> Index:
-        return replace(self, postings=self.postings.persist(), doc_stats=self.doc_stats.persist())
+        kept = replace(self, postings=self.postings.persist(), doc_stats=self.doc_stats.persist())
+        return replace(kept, terms=kept.term_stats().persist(), corpus=kept.corpus_stats().persist())
 
     def unpersist(self) -> None:
-        self.postings.unpersist()
-        self.doc_stats.unpersist()
+        for table in (self.postings, self.doc_stats, self.terms, self.corpus):
+            if table is not None:
+                table.unpersist()
 
 
 def index_tokens(docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens") -> Index:
     """Index of (doc_id, array of tokens); a null array is empty, rows with a null id are left out.
 
-    Ids must be distinct.
+    Ids must be distinct, as models and saved indexes check (``Index.checked``).
     """
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens")).where("doc_id is not null")
     own = own.withColumn("dl", F.size("tokens").cast("bigint"))
@@ -85,10 +127,26 @@ def field_stats(docs: DataFrame, tokenize: Callable[[Column], Column] = core_tok
     return each.groupBy("field").agg(F.sum("l").alias("total_len")).crossJoin(n).select("field", "total_len", (F.col("total_len") / F.col("n")).alias("avgdl"))
 
 
+def focused(docs: DataFrame, terms: list[str], tokenize: Callable[[Column], Column] = core_tokens, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, dl, hits): the length of every document and its tokens that are among some terms.
+
+    One pass over the texts that gives all that searches for those terms need; see ``focused_index``.
+    """
+    words = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), tokenize(F.col(text)).alias("t")).where("doc_id is not null")
+    return own.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.filter("t", lambda x: F.array_contains(words, x)).alias("hits"))
+
+
+def focused_index(rows: DataFrame) -> Index:
+    """Index of ``focused`` rows: that of the corpus, less postings of other terms."""
+    postings = rows.select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return Index(postings.select("term", "doc_id", "tf", "dl"), rows.select("doc_id", "dl"))
+
+
 def merge(*indexes: Index) -> Index:
     """Union of indexes over distinct documents; equals an index of all the documents."""
-    out = indexes[0]
-    for other in indexes[1:]:
+    out = indexes[0].explicit()
+    for other in map(Index.explicit, indexes[1:]):
         out = Index(out.postings.unionByName(other.postings), out.doc_stats.unionByName(other.doc_stats))
     return out
 
@@ -97,10 +155,10 @@ def shift_ids(table: DataFrame, by: int) -> DataFrame:
     return table.withColumn("doc_id", F.col("doc_id") + F.lit(by).cast("bigint"))
 
 
-def without(table: DataFrame, doc_id: int) -> DataFrame:
-    """A table by doc_id less one document; later ids move down by one."""
+def without(table: DataFrame, doc_id: int, renumber: bool = True) -> DataFrame:
+    """A table by doc_id less one document; with ``renumber`` later ids move down by one."""
     rest = table.where(F.col("doc_id") != F.lit(doc_id))
-    return rest.withColumn("doc_id", F.col("doc_id") - (F.col("doc_id") > F.lit(doc_id)).cast("bigint"))
+    return rest.withColumn("doc_id", F.col("doc_id") - (F.col("doc_id") > F.lit(doc_id)).cast("bigint")) if renumber else rest
 
 
 def add_documents(index: Index, docs: Index) -> Index:
@@ -108,15 +166,15 @@ def add_documents(index: Index, docs: Index) -> Index:
     return merge(index, docs)
 
 
-def remove_document(index: Index, doc_id: int) -> Index:
-    return Index(without(index.postings, doc_id), without(index.doc_stats, doc_id))
+def remove_document(index: Index, doc_id: int, renumber: bool = True) -> Index:
+    index = index.explicit()
+    return Index(without(index.postings, doc_id, renumber), without(index.doc_stats, doc_id, renumber))
 
 
 def dense_gaps(index: Index) -> Index:
-    """Index with an empty document for every missing id from 0 to the largest."""
-    last = index.doc_stats.agg(F.max("doc_id").alias("m")).where("m is not null")
-    ids = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "m")).alias("doc_id"))
-    return Index(index.postings, ids.join(index.doc_stats, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl")))
+    """Index in which every id missing from 0 to the largest is an empty document; no row is made for them."""
+    last = index.doc_stats.agg(F.max("doc_id")).first()[0]
+    return replace(index, terms=None, corpus=None, dense=0 if last is None else last + 1)
 
 
 def sorted_postings(index: Index) -> DataFrame:

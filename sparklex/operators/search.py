@@ -8,13 +8,14 @@ below ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparklex.functions.scoring import Scoring
-from sparklex.functions.tokenize import core_tokens
+from sparklex.functions.tokenize import core_tokens, host_tokens
 from sparklex.operators.index import Index
 
 ROUND = 6
@@ -34,13 +35,15 @@ def matches(index: Index, terms: DataFrame, scoring: Scoring = Scoring(), only:
 
     ``only``: the terms, where the caller knows them; the filter then reaches the scan.
     """
-    postings = index.postings
+    postings, stats = index.postings, index.terms
     if only is not None:
         postings = postings.where(F.col("term").isin(only))
-    else:
+        stats = stats.where(F.col("term").isin(only)) if stats is not None else None
+    elif stats is None:
         postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    pruned = Index(postings, index.doc_stats)
-    weighted = terms.join(pruned.term_stats(), "term").crossJoin(F.broadcast(index.corpus_stats()))
+    if stats is None:
+        stats = Index(postings, index.doc_stats).term_stats()
+    weighted = terms.join(stats, "term").crossJoin(F.broadcast(index.corpus_stats()))
     weighted = weighted.withColumns({"idf": scoring.idf(), "term_k1": scoring.term_k1()})
     parts = postings.join(weighted, "term").select("query_id", "doc_id", scoring.contribution().alias("score"))
     return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), ROUND).alias("score"))
@@ -48,7 +51,7 @@ def matches(index: Index, terms: DataFrame, scoring: Scoring = Scoring(), only:
 
 def filled(found: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of every query and document, zeros included."""
-    every = queries.select("query_id").crossJoin(index.doc_stats.select("doc_id"))
+    every = queries.select("query_id").crossJoin(index.doc_ids())
     return every.join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -61,7 +64,7 @@ def ranked(found: DataFrame, index: Index, queries: DataFrame, n: int, pad: bool
     top = found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n)
     if not pad:
         return top.select("query_id", "rank", "doc_id", "score")
-    lowest = index.doc_stats.select("doc_id").orderBy("doc_id").limit(n)
+    lowest = index.lowest(n)
     zero = queries.select("query_id").crossJoin(F.broadcast(lowest)).join(top, ["query_id", "doc_id"], "left_anti")
     both = top.drop("rank").unionByName(zero.withColumn("score", F.lit(0.0)))
     return both.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")
@@ -74,11 +77,15 @@ class Searcher:
         self.index, self.scoring, self.tokenize = index, scoring, tokenize
         self.spark = index.postings.sparkSession
 
-    def _one(self, query: str) -> tuple[DataFrame, DataFrame]:
-        asked = one_query(self.spark, query)
-        terms = query_terms(asked, self.tokenize)
-        known = asked.select(self.tokenize(F.col("text")).alias("t")).first()["t"]
-        return asked, matches(self.index, terms, self.scoring, sorted(set(known)))
+    def _one(self, query: str | list[str]) -> tuple[DataFrame, DataFrame]:
+        """A query is a text, or the list of its terms."""
+        asked = one_query(self.spark, query if isinstance(query, str) else None)
+        known = host_tokens(self.tokenize, query) if isinstance(query, str) else list(query)
+        if known is None:  # only Spark can tell
+            known = asked.select(self.tokenize(F.col("text")).alias("t")).first()["t"]
+        counts = Counter(known)
+        terms = self.spark.createDataFrame([(0, t, n) for t, n in counts.items()], "query_id bigint, term string, qtf bigint")
+        return asked, matches(self.index, terms, self.scoring, sorted(counts))
 
     def matching(self, query: str) -> DataFrame:
         """(doc_id, score) of documents that hold a term of the query."""
@@ -87,7 +94,7 @@ class Searcher:
     def scores(self, query: str) -> DataFrame:
         """(doc_id, score) of every document."""
         found = self._one(query)[1].select("doc_id", "score")
-        return self.index.doc_stats.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        return self.index.doc_ids().join(found, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def top_n(self, query: str, n: int = 5, pad: bool = True) -> DataFrame:
         """(doc_id, score), best first."""
@@ -97,8 +104,7 @@ class Searcher:
         top = self._one(query)[1].select("doc_id", "score").orderBy(*order).limit(n)
         if pad:
             # among the n lowest ids, as many don't match as places can be left
-            lowest = self.index.doc_stats.select("doc_id").orderBy("doc_id").limit(n)
-            zero = lowest.join(top, "doc_id", "left_anti").withColumn("score", F.lit(0.0))
+            zero = self.index.lowest(n).join(top, "doc_id", "left_anti").withColumn("score", F.lit(0.0))
             top = top.unionByName(zero).orderBy(*order).limit(n)
         return top
 

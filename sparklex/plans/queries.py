@@ -6,19 +6,22 @@ for the same rows over views named like the tables.
 
 from __future__ import annotations
 
+import asyncio
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklex.functions import codec
-from sparklex.functions.porter import stem
+from sparklex.functions.porter import is_stopword, simple_tokens, stem
 from sparklex.functions.scoring import Scoring
-from sparklex.functions.tokenize import CORE_PATTERN, ENGLISH_STOPWORDS, SPACE_PATTERN, WORD_PATTERN, Analyzer, Tokenizer, core_tokens
+from sparklex.functions.tokenize import CORE_PATTERN, ENGLISH_STOPWORDS, SPACE_PATTERN, WORD_PATTERN, Analyzer, Tokenizer, core_tokens, host_tokens, stemmed
+from sparklex.models import BM25, BM25F, AsyncBatchMixin, CompressedBM25, InvertedIndex, MmapBM25, SortedPostings, StreamingBM25Builder, check_jobs, query_frame, text_frame
 from sparklex.operators import index as ix
 from sparklex.operators.fusion import RRFScorer
 from sparklex.operators.search import Searcher
-from sparklex.sources.scratch import scratch_path
+from sparklex.sources.scratch import scratch_path, written
 from sparklex.sources.store import load_index, save_index
 from sparklex.streaming.build import StreamingIndexBuilder
 
@@ -279,7 +282,9 @@ _fused = " union all ".join(f"(select doc_id, rank from ({top_sql(100, scored_sq
 
 @query(f"select doc_id, round(sum(1.0::double / (60.0::double + rank)), 9) as score from ({_fused}) group by doc_id order by score desc, doc_id limit 10")
 def rrf_okapi_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = document_index(spark, sf_dir)
+    # one pass over the texts serves both variants
+    terms = sorted(set(host_tokens(core_tokens, QUERY)))
+    index = ix.focused_index(written(ix.focused(documents(spark, sf_dir), terms), "focused"))
     one = spark.createDataFrame([(0, QUERY)], "query_id bigint, text string")
     fusion = RRFScorer(60.0)
     for variant in ("okapi", "plus"):
@@ -363,3 +368,249 @@ def split_at_blanks(text: str) -> list[str]:
 def udf_tokenizer_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     analyzer = Analyzer(split_at_blanks)
     return Searcher(document_index(spark, sf_dir, analyzer), Scoring(), analyzer).top_n(QUERY, 10)
+
+
+# ---------------------------------------------------------------- models, states and callables
+
+STOPWORDS_SQL = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(ENGLISH_STOPWORDS)) + ")"
+ITEMS = "select (row_number() over (order by item_id) - 1)::bigint as doc_id, text from benchmark"
+FLOAT = "doc_id, score::float as score"
+PORTER = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss failing fail filing file happy happi sky sky rational ration digitizer digit conformabli conform operator oper feudalism feudal hopefulness hope formaliti formal triplicate triplic formative form electriciti electr goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust replacement replac adoption adopt communism commun activate activ effective effect rate rate cease ceas controll control roll roll".split()
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of the benchmark's texts, numbered from 0: the corpus of what works on the driver."""
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").select("text").collect()
+    return spark.createDataFrame([(i, r["text"]) for i, r in enumerate(rows)], "doc_id bigint, text string")
+
+
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, tokens) of texts cut at blanks."""
+    tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
+    return documents(spark, sf_dir).select("doc_id", tokens.alias("tokens"))
+
+
+@query(index_sql(SPLIT) + ALL_TERMS)
+def pretokenised_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.index_tokens(split_documents(spark, sf_dir)).term_stats()
+
+
+SPLIT_TOP = top_sql(10, scored_sql(Scoring("compact"), ONE, SPLIT))
+
+
+@query(SPLIT_TOP)
+def compressed_tokens_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CompressedBM25(split_documents(spark, sf_dir)).get_top_n(QUERY.split(), 10)
+
+
+@query(SPLIT_TOP)
+def compressed_save_load_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "compressed")
+    CompressedBM25(split_documents(spark, sf_dir)).save(path)
+    return CompressedBM25.load(path).get_top_n(QUERY.split(), 10)
+
+
+@query(SPLIT_TOP)
+def mmap_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "mapped")
+    save_index(ix.index_tokens(split_documents(spark, sf_dir)), path, {"variant": "compact"})
+    return MmapBM25(path).get_top_n(QUERY.split(), 10)
+
+
+@query(index_sql() + " select term, doc_id, tf from postings where term = 'the'")
+def inverted_index_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "inverted")
+    InvertedIndex(ix.dense_gaps(document_index(spark, sf_dir))).save(path)
+    return InvertedIndex.load(path).lookup("the").select("term", "doc_id", "tf")
+
+
+@query(index_sql(docs=DOCS + " and doc_id % 3 != 1") + ", all_docs as (select unnest(generate_series(0, (select max(doc_id) from lens))) as doc_id) select (select count(*) from all_docs)::bigint as n_docs, total::bigint as total_len from corpus")
+def dense_gaps_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids left out on purpose count as empty documents."""
+    return ix.dense_gaps(ix.index_text(documents(spark, sf_dir).where("doc_id % 3 != 1"))).corpus_stats()
+
+
+@query(top_sql(10, scored_sql(Scoring("compact"), ONE, SPLIT, index_sql(SPLIT, ITEMS))))
+def builder_batches_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and token lists, added one by one and in batches."""
+    texts = [r["text"] for r in items(spark, sf_dir).orderBy("doc_id").collect()]
+    builder = StreamingBM25Builder(scratch_path(spark, "built"), chunk_size=7, tokenizer=split_at_blanks, spark=spark)
+    builder.add_text(0, texts[0])
+    builder.add_tokens(1, split_at_blanks(texts[1]))
+    builder.add_batch([t if i % 2 else split_at_blanks(t) for i, t in enumerate(texts[2:])], start_id=2)
+    return builder.build().get_top_n(QUERY.split(), 10)
+
+
+@query(top_sql(10, scored_sql(Scoring(), ONE, base=index_sql(docs=ITEMS)), FLOAT))
+def dumps_loads_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BM25.loads(BM25(items(spark, sf_dir)).dumps(), spark).get_top_n(QUERY, 10)
+
+
+@query(scored_sql(Scoring(), ONE) + f" select {FLOAT} from every")
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BM25(documents(spark, sf_dir)).get_scores(QUERY)
+
+
+@query(top_sql(10, scored_sql(Scoring("plus"), ONE), FLOAT))
+def variant_factory_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BM25(documents(spark, sf_dir), variant="bm25+").get_top_n(QUERY, 10)
+
+
+@query(index_sql() + " select 1.5::double as k1, 0.75::double as b, 0.25::double as epsilon, n::bigint as corpus_size, round(total / n, 6) as avg_doc_length, 'BM25(k1=1.5, b=0.75, epsilon=0.25, corpus_size=' || n::bigint || ')' as shown from corpus")
+def model_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = BM25(documents(spark, sf_dir))
+    return spark.createDataFrame([(m.k1, m.b, m.epsilon, m.corpus_size, round(m.avg_doc_length, 6), repr(m))], "k1 double, b double, epsilon double, corpus_size bigint, avg_doc_length double, shown string")
+
+
+@query(FIELD + f" select {FLOAT} from every")
+def bm25f_field_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = BM25F(parts(spark, sf_dir), WEIGHTS)
+    model.set_field_b("p_name", 0.1)
+    return model.get_scores(FIELD_QUERY)
+
+
+@query(scored_sql(Scoring(), MANY) + " select query_id, doc_id, score from found where score != 0")
+def sparse_auto_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BM25(documents(spark, sf_dir)).get_scores_batch(asked(spark, sf_dir), sparse_threshold=0)
+
+
+ITEM_SCORES = scored_sql(Scoring(), ITEMS.replace("doc_id", "query_id"), base=index_sql(docs=ITEMS))
+
+
+@query(ITEM_SCORES + " select query_id, doc_id, score::float as score from found where score != 0")
+def batch_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = items(spark, sf_dir)
+    data, columns, ends = BM25(corpus).get_scores_csr(corpus.withColumnRenamed("doc_id", "query_id"))
+    rows = [(q, int(columns[i]), float(data[i])) for q in range(len(ends) - 1) for i in range(ends[q], ends[q + 1])]
+    return spark.createDataFrame(rows, "query_id bigint, doc_id bigint, score float")
+
+
+@query(ITEM_SCORES + " select query_id, doc_id, score::float as score from every")
+def batch_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = items(spark, sf_dir)
+    dense = BM25(corpus).get_scores_matrix(corpus.withColumnRenamed("doc_id", "query_id"))
+    return spark.createDataFrame([(q, d, float(x)) for q, row in enumerate(dense) for d, x in enumerate(row)], "query_id bigint, doc_id bigint, score float")
+
+
+@query(top_sql(10, scored_sql(Scoring(), ONE), FLOAT))
+def async_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = asyncio.run(BM25(documents(spark, sf_dir)).aget_top_n(QUERY, 10))
+    return spark.createDataFrame([(r["doc_id"], r["score"]) for r in rows], "doc_id bigint, score float")
+
+
+@query(scored_sql(Scoring(), ONE, base=index_sql(docs=ITEMS)) + f" select {FLOAT} from every")
+def async_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = asyncio.run(BM25(items(spark, sf_dir)).aget_scores(QUERY))
+    return spark.createDataFrame([(r["doc_id"], r["score"]) for r in rows], "doc_id bigint, score float")
+
+
+@query(ITEM_SCORES + " select query_id, doc_id, score from every")
+def async_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = items(spark, sf_dir)
+    rows = asyncio.run(BM25(corpus).aget_scores_batch(corpus.withColumnRenamed("doc_id", "query_id")))
+    return spark.createDataFrame([(r["query_id"], r["doc_id"], r["score"]) for r in rows], "query_id bigint, doc_id bigint, score double")
+
+
+class _OwnModel(AsyncBatchMixin):
+    """A user's model that gets its batches from the mixin."""
+
+    def __init__(self, index: ix.Index):
+        self.searcher = Searcher(index, Scoring("l"))
+
+
+@query(top_sql(10, scored_sql(Scoring("l"), MANY), "query_id, rank, doc_id, score"))
+def mixin_batch_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _OwnModel(document_index(spark, sf_dir)).get_top_n_batch(asked(spark, sf_dir), 10, n_jobs=-1)
+
+
+RANKINGS = [[(9.0, 7), (8.0, 3), (7.5, 12)], [(1.0, 3), (0.5, 4), (0.1, 4)]]
+
+
+@query("select doc_id, round(sum(1.0::double / (10.0::double + rank)), 9) as score from (values " + ", ".join(f"({d}::bigint, {i + 1})" for ranking in RANKINGS for i, (_, d) in enumerate(ranking)) + ") t(doc_id, rank) group by doc_id order by score desc, doc_id limit 3")
+def rrf_python_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fusion = RRFScorer(k=10)
+    fusion.add_ranking(RANKINGS[1])
+    fusion.reset()
+    for ranking in RANKINGS:
+        fusion.add_ranking(ranking)
+    return fusion.fuse(3)
+
+
+@query(index_sql() + " select doc_id, tf::double as tf from postings where term = 'the'")
+def sorted_postings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SortedPostings(document_index(spark, sf_dir)).lookup("the")
+
+
+@query(index_sql() + " select count(*)::bigint as num_terms, sum(8 * df + strlen(term))::bigint as memory_bytes from stats")
+def sorted_postings_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = SortedPostings(document_index(spark, sf_dir))
+    return spark.createDataFrame([(made.num_terms, made.memory_bytes())], "num_terms bigint, memory_bytes bigint")
+
+
+FOLDED = "replace(lower(x), 'ß', 'ss')"
+
+
+def first_four(token: str) -> str:
+    return token[:4]
+
+
+def tokens_one_by_one(text: str):
+    yield from split_at_blanks(text)
+
+
+def restored(analyzer: Analyzer) -> Analyzer:
+    return Analyzer.from_state(json.loads(json.dumps(analyzer.to_state())))
+
+
+STATED = restored(Analyzer.of("whitespace", stopwords=["and", "the"]))
+for _name, (_tokenize, _sql) in {
+    "tokenize_exact_folding": (Tokenizer("unicode_word", exact_folding=True), token_sql(WORD_PATTERN, FOLDED)),
+    "tokenize_host": (Analyzer(Tokenizer("unicode_word").tokenize), token_sql(WORD_PATTERN, FOLDED)),
+    "tokenize_from_state": (STATED, token_sql(SPACE_PATTERN, FOLDED, "x not in ('and', 'the')")),
+    "tokenize_stemmer_callable": (Analyzer.of(stemmer=first_four), token_sql(each="left(lower(x), 4)")),
+    "tokenize_coerced": (Analyzer(tokens_one_by_one), SPLIT),
+    "tokenize_simple_options": (Analyzer(lambda text: simple_tokens(text, remove_stopwords=True, min_token_len=3)), token_sql(keep=f"length(x) >= 3 and x not in {STOPWORDS_SQL}")),
+}.items():
+    query(index_sql(_sql) + ALL_TERMS, _name)(lambda spark, sf_dir, t=_tokenize: document_index(spark, sf_dir, t).term_stats())
+
+
+@query(index_sql() + f" select term, term in {STOPWORDS_SQL} as is_stopword from stats")
+def stopword_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = document_index(spark, sf_dir).term_stats().select("term")
+    return terms.select("term", F.udf(is_stopword, "boolean", useArrow=True)("term").alias("is_stopword"))
+
+
+@query("select * from (values " + ", ".join(f"('{w}', '{s}')" for w, s in zip(PORTER[::2], PORTER[1::2])) + ") t(word, stem)")
+def porter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published examples of the algorithm."""
+    words = spark.createDataFrame([(w,) for w in PORTER[::2]], "word string")
+    return words.select("word", stemmed(stem)(F.array("word"))[0].alias("stem"))
+
+
+def _error(call: Callable) -> str:
+    try:
+        call()
+    except (TypeError, ValueError, IndexError) as e:
+        return type(e).__name__
+    return "none"
+
+
+REFUSALS = {
+    "one text as a corpus": ("TypeError", lambda spark: text_frame("text", spark)),
+    "a number as a text": ("TypeError", lambda spark: text_frame([1], spark)),
+    "a null text in a list": ("TypeError", lambda spark: text_frame([None], spark)),
+    "a null text in a table": ("TypeError", lambda spark: text_frame(spark.createDataFrame([(1, None)], "doc_id bigint, text string"), nulls="refuse")),
+    "texts": ("none", lambda spark: text_frame(["a"], spark)),
+    "no queries": ("ValueError", lambda spark: query_frame([], spark)),
+    "0 jobs": ("ValueError", lambda spark: check_jobs(0)),
+    "-2 jobs": ("ValueError", lambda spark: check_jobs(-2)),
+    "-1 jobs": ("none", lambda spark: check_jobs(-1)),
+    "two groups in a pattern": ("TypeError", lambda spark: Tokenizer(pattern="(a)(b)").tokenize("ab")),
+    "an id given twice": ("ValueError", lambda spark: BM25(spark.createDataFrame([(1, "a"), (1, "b")], "doc_id bigint, text string"))),
+}
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{v[0]}')" for k, v in REFUSALS.items()) + ") t(given, error)")
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What arguments are refused, and how."""
+    return spark.createDataFrame([(k, _error(lambda c=call: c(spark))) for k, (_, call) in REFUSALS.items()], "given string, error string")

@@ -83,9 +83,7 @@ class StreamingIndexBuilder:
             return index_tokens(self.spark.createDataFrame([], "doc_id bigint, tokens array<string>"))
         postings = self.spark.read.parquet(f"{self.staging}/postings").drop("batch")
         lengths = self.spark.read.parquet(f"{self.staging}/doc_stats").drop("batch")
-        if not lengths.groupBy("doc_id").count().where("count > 1").isEmpty():
-            raise ValueError("a document id was added twice")
-        return dense_gaps(Index(postings, lengths))
+        return dense_gaps(Index(postings, lengths).checked())
 
     def build(self, description: dict | None = None, mode: str = "errorifexists") -> None:
         """Writes the compacted index to ``path`` and deletes the shards."""

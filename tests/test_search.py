@@ -4,11 +4,12 @@ import asyncio
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from sparklex import BM25, BM25F, BM25L, BM25Adpt, BM25Plus, CompressedBM25, InvertedIndex, MmapBM25, RRFScorer, StreamingBM25Builder, Tokenizer
+from sparklex import BM25, BM25F, BM25L, BM25Adpt, BM25Plus, CompressedBM25, InvertedIndex, MmapBM25, RRFScorer, SortedPostings, StreamingBM25Builder, Tokenizer
 from sparklex.functions import codec, porter
 from sparklex.functions.scoring import Scoring
 from sparklex.functions.tokenize import ENGLISH_STOPWORDS, Analyzer, exact_casefold, stopword_set
@@ -234,3 +235,144 @@ def test_varint(value):
 def test_varint_overflow():
     with pytest.raises(OverflowError):
         codec.decode_varint(b"\xff" * 12)
+
+
+def test_driver_side_forms(spark, tmp_path):
+    model = BM25(CORPUS)
+    asked = [ASK, "string", "nothing"]
+    expected = np.array([brute(CORPUS, q, "okapi") for q in asked])
+    assert np.allclose(model.get_scores_matrix(asked), expected, atol=1e-5)
+    data, columns, ends = model.get_scores_csr(asked)
+    assert ends.tolist() == np.append(0, np.cumsum((expected > 0).sum(1))).tolist() and ends[-1] == len(data) == len(columns)
+    again = BM25.loads(model.dumps())
+    assert scores(again.get_scores(ASK)) == scores(model.get_scores(ASK)) and again.get_top_n_docs(ASK, 1).first()["text"] == model.get_top_n_docs(ASK, 1).first()["text"]
+    tokens = CompressedBM25([["a", "b"], ["b"]])
+    assert scores(CompressedBM25.loads(tokens.dumps()).get_scores(["a"])) == scores(tokens.get_scores(["a"]))
+    assert scores(tokens.get_scores([])) == [0.0, 0.0]
+
+
+def test_sparse_ids(spark):
+    docs = spark.createDataFrame([(10, "moor"), (2**40, "field moor"), (7, "kite")], "doc_id bigint, text string")
+    model = BM25(docs)
+    with pytest.raises(IndexError):
+        model.remove_document(0)
+    model.remove_document(10)
+    assert sorted(r["doc_id"] for r in model.get_scores("moor").collect()) == [7, 2**40]
+    with pytest.raises(ValueError):
+        model.add_documents(spark.createDataFrame([(7, "again")], "doc_id bigint, text string"))
+    model.add_documents(["field"])
+    assert [r["doc_id"] for r in model.get_top_n("field", 1).collect()] == [2**40 + 1]
+    for nulls, bad in (("refuse", TypeError), ("other", ValueError)):
+        with pytest.raises(bad):
+            BM25(spark.createDataFrame([(1, None)], "doc_id bigint, text string"), nulls=nulls)
+    with pytest.raises(ValueError):
+        BM25(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id bigint, text string"))
+
+
+def test_dense_ids(spark, tmp_path):
+    from sparklex.operators import index as ix
+    from sparklex.operators.search import Searcher
+    from sparklex.sources.store import load_index, save_index
+
+    docs = spark.createDataFrame([(4, ["b"]), (2, ["a", "b"])], "doc_id bigint, tokens array<string>")
+    index = ix.dense_gaps(ix.index_tokens(docs))
+    save_index(index, str(tmp_path / "d"))
+    for made in (index, load_index(spark, str(tmp_path / "d"))):
+        assert made.corpus_stats().first()["n_docs"] == 5
+        assert sorted(r["doc_id"] for r in Searcher(made).scores(["a"]).collect()) == [0, 1, 2, 3, 4]
+        assert [r["doc_id"] for r in Searcher(made).top_n(["b"], 4).collect()] == [4, 2, 0, 1]
+        assert ix.remove_document(made, 0).doc_stats.count() == 4
+        assert ix.merge(made, ix.index_tokens(docs.where("false"))).doc_stats.count() == 5
+    assert ix.dense_gaps(ix.index_tokens(docs.where("false"))).corpus_stats().first()["n_docs"] == 0
+
+
+def test_saved_statistics_are_read(spark, tmp_path):
+    model = BM25(CORPUS)
+    model.save(str(tmp_path / "m"))
+    read = " ".join(BM25.load(str(tmp_path / "m")).searcher.matching("moor field").inputFiles())
+    assert "/term_stats/" in read and "/postings/" in read and "/doc_stats/" not in read
+
+
+def test_sorted_postings(spark):
+    made = SortedPostings()
+    for term, doc, tf in (("b", 3, 1), ("a", 5, 2), ("b", 1, 4), ("b", 3, 2)):
+        made.insert(term, doc, tf)
+    assert [tuple(r) for r in made.lookup("b").collect()] == [(1, 4.0), (3, 3.0)]
+    assert [r["term"] for r in made.terms().collect()] == ["a", "b"] and made.num_terms == 2
+    assert made.memory_bytes() == 3 * 8 + 2 and not made.empty() and SortedPostings().empty()
+
+
+def test_host_tokenizer():
+    assert Tokenizer("whitespace").tokenize("Keep punctuation, please!") == ["keep", "punctuation,", "please!"]
+    assert Tokenizer(pattern="[A-Za-z]+")("Token-123 split!") == ["token", "split"]
+    assert Tokenizer("unicode_word").tokenize("naïve café 東京_1!") == ["naïve", "café", "東京_1"]
+    assert Tokenizer(stopwords="english", extra_stopwords=["engine"], stemmer=porter.stem).tokenize("The engine jumps") == ["jump"]
+    assert Tokenizer("whitespace", exact_folding=True).tokenize("ΣΑΣ ﬁn") == ["σασ", "fin"]
+    for bad in (lambda: Tokenizer(pattern="(a)(b)").tokenize("ab"), lambda: Tokenizer(stemmer=len).tokenize("a"), lambda: Tokenizer().tokenize(None)):
+        with pytest.raises(TypeError):
+            bad()
+
+
+def test_exact_folding_column(spark):
+    assert tokens_of(spark, Tokenizer("whitespace", exact_folding=True, stopwords=["fin"]), "ΣΑΣ ﬁn") == ["σασ"]
+    with pytest.raises(TypeError):
+        tokens_of(spark, Tokenizer(pattern="(a)(b)"), "ab")
+
+
+@given(st.lists(st.integers(0, 2**64 - 1)))
+def test_varint_arrays(values):
+    data, lengths = codec.encode_varints(np.array(values, np.uint64))
+    assert data.tobytes() == b"".join(codec.encode_varint(v) for v in values) and lengths.sum() == len(data)
+    assert codec.decode_varints(data).tolist() == values
+
+
+def test_varint_arrays_refuse():
+    with pytest.raises(ValueError):
+        codec.decode_varints(np.array([0x80], np.uint8))
+    with pytest.raises(OverflowError):
+        codec.decode_varints(np.frombuffer(b"\xff" * 12 + b"\x01", np.uint8))
+
+
+# ------------------------------------------------------------ properties and judged rankings
+
+
+def ladder(tfs, length=24):
+    """Documents of one length that hold a word so often, with padding that no other has."""
+    return [" ".join(["signal"] * tf + [f"pad{i}x{j}" for j in range(length - tf)]) for i, tf in enumerate(tfs)]
+
+
+@pytest.mark.parametrize("variant", ["okapi", "plus", "l", "adpt"])
+def test_more_occurrences_score_higher(spark, variant):
+    got = scores(BM25(ladder([0, 1, 2, 3, 5, 8]), variant=variant).get_scores("signal"))
+    assert got[0] == 0 and all(a < b for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("variant,delta", [("okapi", 0.0), ("plus", 1.0), ("l", 0.5)])
+def test_closed_form(spark, variant, delta):
+    """Of equal lengths and single occurrences, a score is the IDF and a constant."""
+    for df in (1, 3):
+        got = scores(BM25(ladder([1] * df + [0] * (6 - df)), variant=variant).get_scores("signal"))
+        assert got[:df] == pytest.approx([max(0.25, math.log((6 - df + 0.5) / (df + 0.5) + 1)) * (1 + delta)] * df, abs=1e-5)
+
+
+def test_shorter_and_rarer_score_higher(spark):
+    short, long = scores(BM25(["signal a", "signal " + "b " * 30, "c", "d"]).get_scores("signal"))[:2]
+    assert short > long
+    corpus = ["rare common", "common x", "common y", "z"]
+    model = BM25(corpus)
+    assert scores(model.get_scores("rare"))[0] > scores(model.get_scores("common"))[0]
+    twice = scores(model.get_scores("rare rare"))
+    assert twice[0] == pytest.approx(2 * scores(model.get_scores("rare"))[0], abs=1e-5)
+
+
+JUDGED = [
+    ("how do glaciers carve valleys", ["Tax returns are due in spring.", "Glaciers carve valleys by plucking rock and grinding it as the ice moves.", "Valleys near the coast flood often.", "Ice cream melts."], {1}),
+    ("symptoms of iron deficiency", ["Iron bridges rust.", "A deficiency of funds delayed the bridge.", "Symptoms of iron deficiency include fatigue and pale skin.", "Skin care in winter."], {2}),
+]
+
+
+@pytest.mark.parametrize("variant", ["okapi", "plus", "l", "adpt"])
+def test_judged_rankings(spark, variant):
+    for query, docs, relevant in JUDGED:
+        top = [r["doc_id"] for r in BM25(docs, variant=variant).get_top_n(query, len(relevant)).collect()]
+        assert set(top) == relevant
