@@ -22,7 +22,9 @@ class Index:
 
     ``terms`` and ``corpus`` hold statistics that were stored; without them they are
     summed up when asked for.  ``dense``: the documents are 0 to dense - 1, those
-    without a row in doc_stats being empty.
+    without a row in doc_stats being empty.  ``forward`` holds what the tables are made
+    from, a row (doc_id, dl, terms) for each document, so that a saved index needs to
+    tokenize only once.
     """
 
     postings: DataFrame
@@ -30,6 +32,12 @@ class Index:
     terms: DataFrame | None = None
     corpus: DataFrame | None = None
     dense: int | None = None
+    forward: DataFrame | None = None
+
+    @classmethod
+    def of_forward(cls, rows: DataFrame) -> Index:
+        postings = rows.select("doc_id", "dl", F.inline("terms"))
+        return cls(postings.select("term", "doc_id", "tf", "dl"), rows.select("doc_id", "dl"), forward=rows)
 
     def term_stats(self) -> DataFrame:
         """(term, df, cf)."""
@@ -89,10 +97,22 @@ def index_tokens(docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens"
     Ids must be distinct, as models and saved indexes check (``Index.checked``).
     """
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens")).where("doc_id is not null")
-    own = own.withColumn("dl", F.size("tokens").cast("bigint"))
-    rows = own.select("doc_id", "dl", F.explode("tokens").alias("term"))
-    postings = rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    return Index(postings.select("term", "doc_id", "tf", "dl"), own.select("doc_id", "dl"))
+    return Index.of_forward(own.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), term_counts(F.col("tokens")).alias("terms")))
+
+
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of an array of tokens: lengths of the runs of the sorted array.
+
+    A document's terms are counted in its own row, so postings need no shuffle to be counted.
+    """
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        # a lambda's variable holds the array, which is then made once
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda v, j: F.struct(F.element_at(s, v).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - v).cast("bigint").alias("tf"))))[0]
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.transform(F.array(F.sort_array(F.filter(tokens, lambda t: t.isNotNull()))), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))[0]
 
 
 def index_text(docs: DataFrame, tokenize: Callable[[Column], Column] = core_tokens, doc_id: str = "doc_id", text: str = "text") -> Index:
@@ -128,19 +148,14 @@ def field_stats(docs: DataFrame, tokenize: Callable[[Column], Column] = core_tok
 
 
 def focused(docs: DataFrame, terms: list[str], tokenize: Callable[[Column], Column] = core_tokens, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, dl, hits): the length of every document and its tokens that are among some terms.
+    """(doc_id, dl, terms): the length of every document, and its counts of some terms only.
 
-    One pass over the texts that gives all that searches for those terms need; see ``focused_index``.
+    One pass over the texts that gives all that searches for those terms need: the index
+    ``Index.of_forward`` of these rows is that of the corpus, less postings of other terms.
     """
     words = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), tokenize(F.col(text)).alias("t")).where("doc_id is not null")
-    return own.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.filter("t", lambda x: F.array_contains(words, x)).alias("hits"))
-
-
-def focused_index(rows: DataFrame) -> Index:
-    """Index of ``focused`` rows: that of the corpus, less postings of other terms."""
-    postings = rows.select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    return Index(postings.select("term", "doc_id", "tf", "dl"), rows.select("doc_id", "dl"))
+    return own.select("doc_id", F.size("t").cast("bigint").alias("dl"), term_counts(F.filter("t", lambda x: F.array_contains(words, x))).alias("terms"))
 
 
 def merge(*indexes: Index) -> Index:

@@ -1,9 +1,8 @@
 """Scores and rankings of queries over an index; one plan answers all queries at once.
 
 Scores are rounded to six decimals before they are ranked, so equal documents rank
-alike however their sums were ordered; ties go to the lower document id.  No side of a
-join is forced to be broadcast: Catalyst does so for sides it knows or measures to be
-below ``spark.sql.autoBroadcastJoinThreshold``.
+alike however their sums were ordered; ties go to the lower document id.  The terms of
+queries are broadcast where they are counted to be few; postings never are.
 """
 
 from __future__ import annotations
@@ -19,6 +18,9 @@ from sparklex.functions.tokenize import core_tokens, host_tokens
 from sparklex.operators.index import Index
 
 ROUND = 6
+#: Up to so many (query, term) rows are broadcast to the postings; a saved index can look
+#: smaller than it is, and more rows than these are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
 
 
 def one_query(spark: SparkSession, text: str) -> DataFrame:
@@ -45,7 +47,8 @@ def matches(index: Index, terms: DataFrame, scoring: Scoring = Scoring(), only:
         stats = Index(postings, index.doc_stats).term_stats()
     weighted = terms.join(stats, "term").crossJoin(F.broadcast(index.corpus_stats()))
     weighted = weighted.withColumns({"idf": scoring.idf(), "term_k1": scoring.term_k1()})
-    parts = postings.join(weighted, "term").select("query_id", "doc_id", scoring.contribution().alias("score"))
+    few = len(only) if only is not None else terms.count()
+    parts = postings.join(F.broadcast(weighted) if few <= BROADCAST_TERMS else weighted, "term").select("query_id", "doc_id", scoring.contribution().alias("score"))
     return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), ROUND).alias("score"))
 
 

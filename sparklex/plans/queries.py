@@ -284,7 +284,7 @@ _fused = " union all ".join(f"(select doc_id, rank from ({top_sql(100, scored_sq
 def rrf_okapi_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one pass over the texts serves both variants
     terms = sorted(set(host_tokens(core_tokens, QUERY)))
-    index = ix.focused_index(written(ix.focused(documents(spark, sf_dir), terms), "focused"))
+    index = ix.Index.of_forward(written(ix.focused(documents(spark, sf_dir), terms), "focused"))
     one = spark.createDataFrame([(0, QUERY)], "query_id bigint, text string")
     fusion = RRFScorer(60.0)
     for variant in ("okapi", "plus"):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,11 @@ def save_index(index: Index, path: str, description: dict[str, Any] | None = Non
     given twice is refused (ValueError).
     """
     spark = index.postings.sparkSession
+    made = None
+    if index.forward is not None:  # tokenize once for all tables, and for the sampling of the sort
+        made = f"{path}/forward"
+        index.forward.write.mode(mode).parquet(made)
+        index = replace(Index.of_forward(spark.read.schema(index.forward.schema).parquet(made)), dense=index.dense)
     index.doc_stats.select("doc_id", "dl").write.mode(mode).parquet(f"{path}/doc_stats")
     lengths = spark.read.schema(LENGTHS).parquet(f"{path}/doc_stats")
     Index(index.postings, lengths).checked()
@@ -38,6 +44,9 @@ def save_index(index: Index, path: str, description: dict[str, Any] | None = Non
     written = Index(spark.read.schema(POSTINGS.format(tf=tf)).parquet(f"{path}/postings"), lengths, dense=index.dense)
     written.term_stats().sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/term_stats")
     n_docs, total = written.corpus_stats().first()
+    if made is not None:
+        fs, at, _ = _files(spark, made)
+        fs.delete(at, True)
     if docs is not None:
         docs.write.mode(mode).option("compression", "zstd").parquet(f"{path}/docs")
     about = {"format": FORMAT, "tf": tf, "docs": docs is not None, "n_docs": n_docs, "total_len": total, "dense": index.dense, **(description or {})}
