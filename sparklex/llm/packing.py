@@ -136,7 +136,9 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = stored(own, "token-counts")
     total = own.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, round(total / block_tokens))
-    rows = own.select(F.pmod(F.xxhash64("doc_id", "n"), F.lit(blocks)).alias("block"), "doc_id", "n")
+    # the stored row's own number spreads rows that share an id and a length
+    own = own.withColumn("row", F.monotonically_increasing_id())
+    rows = own.select(F.pmod(F.xxhash64("doc_id", "n", "row"), F.lit(blocks)).alias("block"), "doc_id", "n")
     rows = rows.repartition("block").sortWithinPartitions("block", "doc_id", "n")
     return rows.mapInArrow(_packer(capacity), "window bigint, tokens bigint, doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>")
 

@@ -362,6 +362,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         passages = passages.select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / SHARD).cast("int"))).alias("salt"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("begin"), "codes")
         met = passages.unionByName(own.mapInArrow(stretches(True), kind)).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("begin").isNotNull())
         spans = spans.unionByName(met.mapInArrow(_locate_salted(width, min_words), "doc_id bigint, a bigint, b bigint"))
+    spans = spans.distinct()  # repeated rows, however many, have the same ones
     by_place = Window.partitionBy("doc_id").orderBy("a", "b")
     before = F.max("b").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(before >= F.col("a"), 0).otherwise(1)).withColumn("span", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
