@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklex.functions.codec import blocked
 from sparklex.functions.tokenize import core_tokens
 
 
@@ -193,5 +194,6 @@ def dense_gaps(index: Index) -> Index:
 
 
 def sorted_postings(index: Index) -> DataFrame:
-    """(term, entries): each term's postings as an array sorted by document."""
-    return index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("entries"))
+    """(term, block, entries): postings as arrays sorted by document, one for each range of BLOCK_IDS ids, which bounds them."""
+    entries = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
+    return blocked(index.postings).groupBy("term", "block").agg(entries.alias("entries"))

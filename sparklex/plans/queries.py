@@ -191,10 +191,10 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_index(spark, sf_dir).postings.select("term", "doc_id", "tf")
 
 
-@query(index_sql() + " select term, string_agg(doc_id::varchar || ':' || tf::varchar, ' ' order by doc_id) as entries from postings group by term")
+@query(index_sql() + " select term, doc_id // 65536 as block, string_agg(doc_id::varchar || ':' || tf::varchar, ' ' order by doc_id) as entries from postings group by term, doc_id // 65536")
 def sorted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = ix.sorted_postings(document_index(spark, sf_dir))
-    return lists.select("term", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["doc_id"].cast("string"), e["tf"].cast("string"))), " ").alias("entries"))
+    return lists.select("term", "block", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["doc_id"].cast("string"), e["tf"].cast("string"))), " ").alias("entries"))
 
 
 @query(index_sql() + " select term, doc_id, tf from postings where term = 'the'")

@@ -376,3 +376,19 @@ def test_judged_rankings(spark, variant):
     for query, docs, relevant in JUDGED:
         top = [r["doc_id"] for r in BM25(docs, variant=variant).get_top_n(query, len(relevant)).collect()]
         assert set(top) == relevant
+
+
+def test_blocks_of_postings(spark, monkeypatch):
+    """Lists that go over several blocks of ids, against one list."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(codec, "BLOCK_IDS", 4)
+    lists = {"a": [0, 1, 3, 4, 9, 30], "b": [7], "c": [3, 4, 5, 6, 7, 8, 100]}
+    postings = spark.createDataFrame([(t, d, 1 + d % 3) for t, ids in lists.items() for d in ids], "term string, doc_id bigint, tf bigint")
+    got = sorted((r["term"], r["doc_id"], r["gap"]) for r in codec.gaps(postings).collect())
+    assert got == [(t, d, d - p) for t, ids in lists.items() for p, d in zip([0, *ids], ids)]
+    back = codec.ids_of_gaps(codec.gaps(postings).withColumnRenamed("doc_id", "at"), "at")
+    assert back.where(F.col("doc_id") == F.col("at")).count() == 14
+    assert sorted(map(tuple, codec.decoded_postings(codec.encoded_postings(postings)).collect())) == [(t, d, 1.0 + d % 3) for t, ids in lists.items() for d in ids]
+    size = sum(len(codec.encode_postings([(d, 1.0 + d % 3) for d in ids])) for ids in lists.values())
+    assert codec.compressed_bytes(postings).first()["compressed_bytes"] == size
