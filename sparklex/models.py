@@ -381,34 +381,52 @@ class SortedPostings:
     def __init__(self, index: ix.Index | None = None):
         self._rows: list[tuple[str, int, float]] = []
         self._index = index
+        self._sizes: tuple[int, int] | None = None
 
     def insert(self, term: str, doc_id: int, tf: float) -> None:
         """Entries of one term and document add up."""
         self._rows.append((term, int(doc_id), float(tf)))
+        self._sizes = None
 
-    def finalize(self) -> DataFrame:
-        """(term, doc_id, tf) in order."""
+    def _entries(self) -> DataFrame:
+        """(term, doc_id, tf), in no order."""
         rows = SparkSession.active().createDataFrame(self._rows, "term string, doc_id bigint, tf double")
         if self._index is not None:
             rows = rows.unionByName(self._index.postings.select("term", "doc_id", F.col("tf").cast("double").alias("tf")))
-        return rows.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf")).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        return rows.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+
+    def finalize(self) -> DataFrame:
+        """(term, doc_id, tf) in order."""
+        return self._entries().repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
     def lookup(self, term: str) -> DataFrame:
         """(doc_id, tf) of one term, by document."""
-        return self.finalize().where(F.col("term") == term).select("doc_id", "tf").orderBy("doc_id")
+        return self._entries().where(F.col("term") == term).select("doc_id", "tf").orderBy("doc_id")
 
     def terms(self) -> DataFrame:
-        return self.finalize().select("term").distinct().orderBy("term")
+        return self._entries().select("term").distinct().orderBy("term")
+
+    def sizes(self) -> tuple[int, int]:
+        """(number of terms, bytes of all terms and entries), counted in one pass and kept.
+
+        An index of distinct ids has its document frequencies without a shuffle of its entries.
+        """
+        if self._sizes is None:
+            if self._index is not None and not self._rows and self._index.repeated_ids().isEmpty():
+                lists = self._index.term_stats()
+            else:
+                lists = self._entries().groupBy("term").agg(F.count("*").alias("df"))
+            n = F.coalesce(F.sum(F.col("df") * 8 + F.octet_length("term")), F.lit(0)).cast("bigint")
+            self._sizes = tuple(lists.agg(F.count("*"), n).first())
+        return self._sizes
 
     @property
     def num_terms(self) -> int:
-        return self.terms().count()
+        return self.sizes()[0]
 
     def empty(self) -> bool:
-        return self.finalize().isEmpty()
+        return self._entries().isEmpty()
 
     def memory_bytes(self) -> int:
         """Bytes of all terms and entries: 4 an id and 4 a frequency."""
-        rows = self.finalize()
-        each = rows.groupBy("term").agg((F.count("*") * 8 + F.first(F.octet_length("term"))).alias("n"))
-        return each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).first()[0]
+        return self.sizes()[1]

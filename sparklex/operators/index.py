@@ -76,9 +76,13 @@ class Index:
         rows = self.doc_ids().join(self.doc_stats, "doc_id", "left")
         return Index(self.postings, rows.select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl")))
 
+    def repeated_ids(self) -> DataFrame:
+        """(doc_id) of ids that two documents have; texts are not tokenized for it."""
+        return self.doc_stats.groupBy("doc_id").count().where("count > 1").select("doc_id")
+
     def checked(self) -> Index:
         """Raises ValueError where two documents have one id."""
-        if not self.doc_stats.groupBy("doc_id").count().where("count > 1").isEmpty():
+        if not self.repeated_ids().isEmpty():
             raise ValueError("a document id was given twice")
         return self
 

@@ -392,3 +392,29 @@ def test_blocks_of_postings(spark, monkeypatch):
     assert sorted(map(tuple, codec.decoded_postings(codec.encoded_postings(postings)).collect())) == [(t, d, 1.0 + d % 3) for t, ids in lists.items() for d in ids]
     size = sum(len(codec.encode_postings([(d, 1.0 + d % 3) for d in ids])) for ids in lists.values())
     assert codec.compressed_bytes(postings).first()["compressed_bytes"] == size
+
+
+def jobs_of(spark, call):
+    """(what call returns, number of Spark jobs that it ran)."""
+    context = spark.sparkContext
+    context.setJobGroup(f"counted-{id(call)}", "")
+    try:
+        got = call()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return got, len(context.statusTracker().getJobIdsForGroup(f"counted-{id(call)}"))
+
+
+def test_sizes_of_sorted_postings_count_once(spark):
+    """One pass gives both sizes, without a sort; ids given twice and entries put in later still add up."""
+    from sparklex.operators import index as ix
+
+    docs = spark.createDataFrame([(1, "b a b é"), (2, "a")], "doc_id bigint, text string")
+    made = SortedPostings(ix.index_text(docs, Tokenizer("unicode_word")))
+    assert (made.num_terms, made.memory_bytes()) == (3, 4 * 8 + 1 + 1 + 2)
+    assert jobs_of(spark, lambda: (made.num_terms, made.memory_bytes()))[1] == 0
+    made.insert("zz", 1, 1)
+    made.insert("a", 2, 1)
+    assert (made.num_terms, made.memory_bytes()) == (4, 5 * 8 + 1 + 1 + 2 + 2)
+    twice = SortedPostings(ix.index_text(docs.unionAll(docs)))
+    assert (twice.num_terms, twice.memory_bytes()) == (2, 3 * 8 + 2)
