@@ -6,12 +6,13 @@ Everything but user callables stays in the JVM.  Null texts have no tokens.
 from __future__ import annotations
 
 import re
-import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,12 +30,16 @@ ENGLISH_STOPWORDS = frozenset(
 CORE_PATTERN = "[0-9A-Za-z_]+"
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 SPACE_PATTERN = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Patterns as they are handed to Java, where it reads another form of the same class faster: the first class of a union is
+#: tried first, and nearly all characters of words are in it.
+IN_JAVA = {SPACE_PATTERN: f"[[!-~]{SPACE_PATTERN[:-1]}]+"}
 MODES = {"regex": CORE_PATTERN, "unicode_word": WORD_PATTERN, "whitespace": SPACE_PATTERN}
 
 Expression = Callable[[Column], Column]
 
 
 def extract(pattern: str, group: int = 0) -> Expression:
+    pattern = IN_JAVA.get(pattern, pattern)
     return lambda text: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
@@ -67,11 +72,11 @@ def casefold(token: Column) -> Column:
 
 
 def exact_casefold(tokens: Column) -> Column:
-    """Full Unicode case folding of an array of tokens."""
+    """Full Unicode case folding of an array of tokens; each distinct token of an Arrow batch is folded once."""
 
     @F.arrow_udf("array<string>")
     def folded(lists: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [x.casefold() for x in t] for t in lists.to_pylist()], pa.list_(pa.string()))
+        return each_distinct(lists, str.casefold)
 
     return folded(tokens)
 
@@ -99,36 +104,58 @@ def checked_tokens(tokens: Any) -> list[str]:
     return out
 
 
+#: Bytes of text that are Python objects at once; an Arrow batch can hold 10,000 texts of any length.
+SLICE = 1 << 20
+
+
+def slices(sizes: pa.Array, most: int) -> Iterator[slice]:
+    """Runs of rows whose sizes (null: 0) add up to ``most`` or less; a larger row is alone."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def each_distinct(lists: pa.Array, function: Callable[[str], str]) -> pa.Array:
+    """Lists of strings with ``function`` of every string; each distinct string is handed over once, and only those are Python objects."""
+    flat = lists.flatten().dictionary_encode()
+    words = [function(t) for t in flat.dictionary.to_pylist()]
+    if not all(isinstance(w, str) for w in words):
+        raise TypeError("a function of tokens, such as a stemmer, returns a string")
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(words, pa.string()).take(flat.indices), mask=lists.is_null())
+
+
+def tokenized(texts: pa.Array, function: Callable[[str], Iterable[str]], most: int = SLICE) -> pa.Array:
+    """Tokens of texts by a Python function; those of ``most`` bytes of text, or of one longer text, are Python objects at once."""
+    kind = pa.list_(pa.string())
+    made = [pa.array([checked_tokens(function(t or "")) for t in texts[rows].to_pylist()], kind) for rows in slices(pc.binary_length(texts), most)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def callable_tokens(function: Callable[[str], Iterable[str]]) -> Expression:
     """A Python tokenizer as an Arrow UDF."""
 
     @F.arrow_udf("array<string>")
     def tokens(texts: pa.Array) -> pa.Array:
-        return pa.array([checked_tokens(function(t or "")) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return tokenized(texts, function)
 
     return lambda text: tokens(text)
 
 
 def stemmed(function: Callable[[str], str]) -> Expression:
-    """An array<string> column with every token passed through a Python stemmer.
+    """An array<string> column with every token passed through a Python stemmer; a null array is empty.
 
     Each distinct token of an Arrow batch is stemmed once.
     """
 
     @F.arrow_udf("array<string>")
     def stems(tokens: pa.Array) -> pa.Array:
-        flat = tokens.flatten().dictionary_encode()
-        words = [function(t) for t in flat.dictionary.to_pylist()]
-        if not all(isinstance(w, str) for w in words):
-            raise TypeError("a stemmer returns a string")
-        values = pa.array(words, pa.string()).take(flat.indices)
-        lengths = [0 if t is None else len(t) for t in tokens.to_pylist()]
-        ends = [0]
-        for n in lengths:
-            ends.append(ends[-1] + n)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return each_distinct(tokens, function)
 
-    return lambda tokens: stems(tokens)
+    return lambda tokens: stems(F.coalesce(tokens, F.array().cast("array<string>")))
 
 
 @dataclass(frozen=True, init=False)
@@ -182,7 +209,7 @@ class Tokenizer:
         if self.mode == "whitespace":
             tokens = text.split()
         elif self.mode == "unicode_word":
-            tokens = [t for t in re.split(r"[^\w]+", "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in text)) if t]
+            tokens = re.findall(r"\w+", text)  # in Python, \w is the letters and numbers of all scripts, and _
         else:
             self._group()
             tokens = re.findall(self.pattern, text)
