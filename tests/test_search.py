@@ -418,3 +418,77 @@ def test_sizes_of_sorted_postings_count_once(spark):
     assert (made.num_terms, made.memory_bytes()) == (4, 5 * 8 + 1 + 1 + 2 + 2)
     twice = SortedPostings(ix.index_text(docs.unionAll(docs)))
     assert (twice.num_terms, twice.memory_bytes()) == (2, 3 * 8 + 2)
+
+
+def peak_mb(call):
+    """(what call returns, MB of Python objects that it held at most)."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return call(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_python_tokenizers_hold_few_objects():
+    """An Arrow batch of long texts isn't turned into Python tokens as a whole."""
+    import pyarrow as pa
+
+    from sparklex.functions.tokenize import each_distinct, slices, tokenized
+
+    words = " ".join(f"word{i}" for i in range(5000))
+    texts = pa.array([words, None, ""] * 60)
+    got, mb = peak_mb(lambda: tokenized(texts, str.split))
+    assert got.slice(0, 3).to_pylist() == [words.split(), [], []] and len(got.flatten()) == 300_000 and mb < 15
+    seen = []
+    lists = pa.concat_arrays([pa.array([["never"], None, ["A", "B", "A"]]), got])[1:]
+    new, mb = peak_mb(lambda: each_distinct(lists, lambda t: seen.append(t) or t.upper()))
+    assert new.slice(0, 4).to_pylist() == [None, ["A", "B", "A"], words.upper().split(), []] and len(seen) == 5002 and mb < 10
+    assert list(slices(pa.array([3, 4, None, 9, 1, 1]), 7)) == [slice(0, 3), slice(3, 4), slice(4, 6)] and not list(slices(pa.array([], pa.int32()), 7))
+    assert tokenized(pa.array([], pa.string()), str.split).to_pylist() == []
+
+
+def test_spaces_and_words_of_all_code_points(spark):
+    """The forms of the patterns that are faster split at the same characters."""
+    import sys
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    every = [chr(i) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    text = "a".join(every)
+    assert tokens_of(spark, Tokenizer("whitespace", lowercase=False), text) == text.split()
+    assert "[[!-~]" in str(Tokenizer("whitespace")(F.col("t")))
+    kept = "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in text)
+    assert Tokenizer("unicode_word", lowercase=False).tokenize(text) == [t for t in kept.split(" ") if t]
+
+
+def test_token_statistics(spark, monkeypatch):
+    """Statistics that are counted by runs of documents, against postings."""
+    from sparklex.operators import index as ix
+
+    monkeypatch.setattr(ix, "COUNTED", 4)
+    docs = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["a", None, "é"]), (4, None), (5, [None]), (None, ["z"]), (6, list("aabbccab"))], "doc_id bigint, tokens array<string>").coalesce(1)
+    index = ix.index_tokens(docs)
+    rows = sorted(map(tuple, index.term_stats().collect()))
+    assert rows == sorted(map(tuple, ix.Index(index.postings, index.doc_stats).term_stats().collect())) == [("a", 3, 5), ("b", 2, 5), ("c", 1, 2), ("é", 1, 1)]
+    assert index.term_stats().dtypes == [("term", "string"), ("df", "bigint"), ("cf", "bigint")]
+    assert ix.index_tokens(docs.where("false")).term_stats().isEmpty()
+
+
+def test_a_search_reads_texts_once(spark, tmp_path, monkeypatch):
+    """Postings, statistics and lengths that a search needs come from one pass; results equal those of all tables."""
+    from sparklex.operators import index as ix
+    from sparklex.operators import search
+
+    spark.createDataFrame(list(enumerate(CORPUS)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
+    index = ix.index_text(spark.read.parquet(f"{tmp_path}/docs"))
+    tables = ix.Index(index.postings, index.doc_stats)
+    asked = spark.createDataFrame([(0, ASK), (1, "kite on a string"), (2, "absent"), (3, "")], "query_id bigint, text string")
+    for focus in (10_000, 3):
+        monkeypatch.setattr(search, "FOCUS_TERMS", focus)
+        for found in (search.Searcher(index).matching(ASK), search.Searcher(index).batch(asked)):
+            assert not any("/docs/" in f for f in found.inputFiles())
+        for query in (lambda s: s.batch_top_n(asked, 4), lambda s: s.top_n(ASK, 5), lambda s: s.batch_dense(asked), lambda s: s.top_n("absent", 2)):
+            assert sorted(map(tuple, query(search.Searcher(index)).collect())) == sorted(map(tuple, query(search.Searcher(tables)).collect()))
