@@ -492,3 +492,39 @@ def test_a_search_reads_texts_once(spark, tmp_path, monkeypatch):
             assert not any("/docs/" in f for f in found.inputFiles())
         for query in (lambda s: s.batch_top_n(asked, 4), lambda s: s.top_n(ASK, 5), lambda s: s.batch_dense(asked), lambda s: s.top_n("absent", 2)):
             assert sorted(map(tuple, query(search.Searcher(index)).collect())) == sorted(map(tuple, query(search.Searcher(tables)).collect()))
+
+
+def test_batches_score_documents_in_their_rows(spark, monkeypatch):
+    """Neither postings nor scores of a batch are shuffled; ids given twice, null ids and queries without a match keep their results."""
+    from sparklex.operators import index as ix
+    from sparklex.operators import search
+
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate([*CORPUS, None, "moor " * 300])], "doc_id bigint, text string").coalesce(1)
+    rows = [(7, ASK), (1, "kite on a string"), (7, "field"), (2, "absent"), (9, ""), (4, None), (None, "moor")]
+
+    def results(index, asked, query, scoring=Scoring()):
+        found = query(search.Searcher(index, scoring), asked)
+        return found.dtypes, sorted(map(repr, found.select("query_id", "doc_id", "score").collect()))
+
+    dense, sparse = (lambda s, a: s.batch_dense(a)), (lambda s, a: s.batch(a))
+    cases = [("bigint", rows, docs, q, v, 1 << 20) for q, v in ((dense, "okapi"), (dense, "plus"), (dense, "l"), (dense, "adpt"), (dense, "compact"))]
+    cases += [("bigint", rows, docs, dense, "okapi", 5), ("bigint", rows, docs, sparse, "okapi", 5)]
+    cases += [("string", [(q and f"q{q}", t) for q, t in rows], docs, dense, "okapi", 5), ("double", [(q and float(q), t) for q, t in rows], docs, sparse, "okapi", 5)]
+    cases += [("int", rows[3:6], docs, dense, "okapi", 5), ("int", rows[3:6], docs, sparse, "okapi", 5), ("bigint", rows, docs.unionAll(docs.limit(2)), dense, "okapi", 5)]
+    for kind, given, corpus, query, variant, cells in cases:
+        monkeypatch.setattr(search, "CELLS", cells)
+        asked = spark.createDataFrame(given, f"query_id {kind}, text string").coalesce(1)
+        index = ix.index_text(corpus)
+        tables = ix.Index(index.postings, index.doc_stats)
+        assert results(index, asked, query, Scoring(variant)) == results(tables, asked, query, Scoring(variant)), (kind, variant, cells)
+    asked = spark.createDataFrame(rows, "query_id bigint, text string")
+    for query in (dense,):
+        plan = query(search.Searcher(ix.index_text(docs)), asked)._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_rounding_as_in_sql():
+    from sparklex.operators.search import rounded
+
+    given = np.array([0.0000005, -0.0000005, 1.2345674, 1.2345676, 0.0, 5e9 + 0.1, 1e300])
+    assert rounded(given).tolist() == [0.000001, -0.000001, 1.234567, 1.234568, 0.0, 5e9 + 0.1, 1e300]
