@@ -52,14 +52,20 @@ def cased_tokens(text: Column) -> Column:
     return extract(CORE_PATTERN)(text)
 
 
+def core_case(tokenize: Any) -> bool | None:
+    """Whether a tokenizer that cuts at CORE_PATTERN and does nothing else lower-cases its tokens; None for all others."""
+    if isinstance(tokenize, Analyzer) and tokenize.base is None:
+        return tokenize.lowercase
+    return tokenize is core_tokens if tokenize in (core_tokens, cased_tokens) else None
+
+
 def host_tokens(tokenize: Any, text: str) -> list[str] | None:
     """Tokens of one string on the driver, where that is sure to equal what Spark makes of it; else None."""
-    if isinstance(tokenize, Analyzer) and tokenize.base is None:
-        tokenize = core_tokens if tokenize.lowercase else cased_tokens
-    if tokenize not in (core_tokens, cased_tokens):
+    lowercase = core_case(tokenize)
+    if lowercase is None:
         return None
     found = re.findall(CORE_PATTERN, text)
-    return [t.lower() for t in found] if tokenize is core_tokens else found
+    return [t.lower() for t in found] if lowercase else found
 
 
 def casefold(token: Column) -> Column:
@@ -118,6 +124,48 @@ def slices(sizes: pa.Array, most: int) -> Iterator[slice]:
         at = end
 
 
+#: Bytes of text that ``core_words`` cuts at once.
+PIECE = 1 << 22
+
+
+def core_words(texts: pa.Array, lowercase: bool = True, most: int = PIECE) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """``core_tokens`` (or ``cased_tokens``) of texts: (tokens of some bytes of them, where each row's tokens start and end in that).
+
+    Words of CORE_PATTERN are ASCII, so they are found in the bytes of UTF-8.  A null text
+    has no tokens.  About ``most`` bytes are cut at once; a token is never cut in two.
+    """
+    kept = np.zeros(256, np.uint8)  # what becomes of a byte, 0: no part of a word
+    for byte in re.findall("[0-9A-Za-z_]", bytes(range(128)).decode()):
+        kept[ord(byte)] = ord(byte.lower() if lowercase else byte)
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, at, data = texts.buffers()
+    ends = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    low = 0
+    while low < len(flat):
+        high = min(low + most, len(flat))
+        while high < len(flat) and kept[flat[high - 1]]:  # on to the end of the word, or of the text
+            text_end = int(ends[np.searchsorted(ends, high)])
+            rest = flat[high : min(text_end, high + most)]
+            stop = np.flatnonzero(kept[rest] == 0)
+            high += int(stop[0]) if len(stop) else len(rest)
+            if len(stop) or high == text_end:
+                break
+        letters = kept[flat[low:high]]
+        word = letters != 0
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        cuts = ends[np.searchsorted(ends, low, "right") : np.searchsorted(ends, high)] - low  # where texts meet
+        first[cuts], last[cuts - 1] = word[cuts], word[cuts - 1]
+        starts = np.flatnonzero(first)
+        lengths = np.flatnonzero(last) + 1 - starts
+        tokens = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, np.cumsum(lengths))), pa.py_buffer(letters[word]))
+        yield tokens, np.searchsorted(starts, ends - low)
+        low = high
+
+
 def each_distinct(lists: pa.Array, function: Callable[[str], str]) -> pa.Array:
     """Lists of strings with ``function`` of every string; each distinct string is handed over once, and only those are Python objects."""
     flat = lists.flatten().dictionary_encode()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.functions.codec import blocked
-from sparklex.functions.tokenize import core_tokens, slices
+from sparklex.functions.tokenize import core_case, core_tokens, core_words, slices
 from sparklex.sources.scratch import written
 
 
@@ -30,6 +30,7 @@ class Index:
     without a row in doc_stats being empty.  ``forward`` holds what the tables are made
     from, a row (doc_id, dl, terms) for each document, so that a saved index needs to
     tokenize only once, and ``tokens`` (doc_id, tokens) what those rows are made from.
+    ``texts`` (doc_id, text) are there if the tokens are those of core_words, ``lowercase`` or not.
     """
 
     postings: DataFrame
@@ -39,6 +40,8 @@ class Index:
     dense: int | None = None
     forward: DataFrame | None = None
     tokens: DataFrame | None = None
+    texts: DataFrame | None = None
+    lowercase: bool = True
 
     @classmethod
     def of_forward(cls, rows: DataFrame) -> Index:
@@ -61,7 +64,11 @@ class Index:
         """
         if self.tokens is None or self.terms is not None:
             return self
-        return replace(Index.of_forward(written(forward_rows(self.tokens, terms), "focused")), dense=self.dense)
+        if self.texts is None or terms is None:
+            rows = forward_rows(self.tokens, terms)
+        else:
+            rows = forward_words(self.texts, terms, self.lowercase)
+        return replace(Index.of_forward(written(rows, "focused")), dense=self.dense)
 
     def corpus_stats(self) -> DataFrame:
         """One row (n_docs, total_len)."""
@@ -107,7 +114,7 @@ class Index:
         """Keeps what searches read: the rows that all tables are made from, or else the tables."""
         if self.forward is not None:
             return replace(Index.of_forward(self.forward.persist()), terms=self.terms, corpus=self.corpus, dense=self.dense)
-        kept = replace(self, postings=self.postings.persist(), doc_stats=self.doc_stats.persist(), tokens=None)
+        kept = replace(self, postings=self.postings.persist(), doc_stats=self.doc_stats.persist(), tokens=None, texts=None)
         return replace(kept, terms=kept.term_stats().persist(), corpus=kept.corpus_stats().persist())
 
     def unpersist(self) -> None:
@@ -131,6 +138,34 @@ def forward_rows(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
     return docs.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), term_counts(counted).alias("terms"))
 
 
+def forward_words(docs: DataFrame, only: list[str], lowercase: bool = True) -> DataFrame:
+    """``forward_rows`` of the core tokens of (doc_id, text), which are counted where the texts lie and never become rows."""
+    terms = pa.array(sorted(set(only)), pa.large_string())
+    names = terms.cast(pa.string())
+    n = max(1, len(terms))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dl = np.zeros(batch.num_rows, np.int64)
+            keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for tokens, bounds in core_words(batch.column(1), lowercase):
+                dl += np.diff(bounds)
+                codes = pc.index_in(tokens, value_set=terms)
+                hits = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
+                row = np.searchsorted(bounds, hits, "right") - 1
+                found = np.unique(row * n + codes.drop_null().to_numpy(), return_counts=True)
+                keys.append(found[0])
+                times.append(found[1])
+            pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+            tf = np.zeros(len(pairs), np.int64)
+            np.add.at(tf, place, np.concatenate(times))
+            ends = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * n).astype(np.int32)
+            counts = pa.StructArray.from_arrays([names.take(pa.array(pairs % n)), pa.array(tf)], ["term", "tf"])
+            yield pa.record_batch([batch.column(0), pa.array(dl), pa.ListArray.from_arrays(pa.array(ends), counts)], ["doc_id", "dl", "terms"])
+
+    return docs.mapInArrow(count, "doc_id bigint, dl bigint, terms array<struct<term:string,tf:bigint>>")
+
+
 #: Tokens that ``token_stats`` counts at once.
 COUNTED = 1 << 20
 
@@ -177,7 +212,12 @@ def term_counts(tokens: Column) -> Column:
 
 def index_text(docs: DataFrame, tokenize: Callable[[Column], Column] = core_tokens, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Index of (doc_id, text); a null text is an empty document."""
-    return index_tokens(docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.col(text)).alias("tokens")))
+    made = index_tokens(docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.col(text)).alias("tokens")))
+    lowercase = core_case(tokenize)
+    if lowercase is None:
+        return made
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return replace(made, texts=texts.where("doc_id is not null"), lowercase=lowercase)
 
 
 def index_fields(docs: DataFrame, weights: dict[str, float], tokenize: Callable[[Column], Column] = core_tokens, doc_id: str = "doc_id", fields: str = "fields") -> Index:

@@ -528,3 +528,48 @@ def test_rounding_as_in_sql():
 
     given = np.array([0.0000005, -0.0000005, 1.2345674, 1.2345676, 0.0, 5e9 + 0.1, 1e300])
     assert rounded(given).tolist() == [0.000001, -0.000001, 1.234567, 1.234568, 0.0, 5e9 + 0.1, 1e300]
+
+
+def test_words_are_cut_in_bytes():
+    """Words of a batch of texts, whatever the pieces they are cut in."""
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from sparklex.functions.tokenize import core_words
+
+    chance = random.Random(1)
+    for _ in range(2000):
+        texts = [chance.choice([None, "", "".join(chance.choice("aB9_ .é東K\0") for _ in range(chance.randint(0, 12)))]) for _ in range(chance.randint(0, 6))]
+        skipped = chance.randint(0, len(texts))
+        for lowercase in (True, False):
+            expected = [[t.lower() if lowercase else t for t in re.findall("[0-9A-Za-z_]+", x or "")] for x in texts[skipped:]]
+            for most in (1, 3, 7, 1 << 22):
+                got = [[] for _ in expected]
+                for tokens, bounds in core_words(pa.array(texts, pa.string())[skipped:], lowercase, most):
+                    words = tokens.to_pylist()
+                    for i, own in enumerate(got):
+                        own += words[bounds[i] : bounds[i + 1]]
+                assert got == expected
+
+
+@pytest.mark.parametrize("variant", ["compact"])
+def test_a_search_makes_no_rows_of_tokens(spark, monkeypatch, variant):
+    """Texts that are cut by the core tokenizer are counted in their bytes; other tokenizers go on as before."""
+    from sparklex.functions.tokenize import cased_tokens, core_tokens
+    from sparklex.operators import index as ix
+    from sparklex.operators.search import Searcher
+
+    docs = spark.createDataFrame([*enumerate(CORPUS), (6, None), (None, "moor"), (7, "éMoor_x moorMOOR 東moor Field"), (8, "MOOR " * 70)], "doc_id bigint, text string")
+    plain = {}
+    for tokenize in (core_tokens, cased_tokens, Analyzer.of(lowercase=False), Tokenizer("whitespace")):
+        index = ix.index_text(docs, tokenize)
+        tables = ix.Index(index.postings, index.doc_stats)
+        plain[tokenize] = index, [tuple(r) for r in Searcher(tables, Scoring(variant), tokenize).top_n(ASK + " MOOR", 7).collect()]
+    *core, (other, _) = plain.items()
+    monkeypatch.setattr(ix, "forward_rows", lambda *a: pytest.fail("tokens became rows"))
+    for tokenize, (index, expected) in core:
+        assert [tuple(r) for r in Searcher(index, Scoring(variant), tokenize).top_n(ASK + " MOOR", 7).collect()] == expected
+    with pytest.raises(pytest.fail.Exception):
+        Searcher(plain[other][0], Scoring(variant), other).top_n(ASK, 7)
