@@ -507,7 +507,7 @@ def test_batches_score_documents_in_their_rows(spark, monkeypatch):
         return found.dtypes, sorted(map(repr, found.select("query_id", "doc_id", "score").collect()))
 
     dense, sparse = (lambda s, a: s.batch_dense(a)), (lambda s, a: s.batch(a))
-    cases = [("bigint", rows, docs, q, v, 1 << 20) for q, v in ((dense, "okapi"), (dense, "plus"), (dense, "l"), (dense, "adpt"), (dense, "compact"))]
+    cases = [("bigint", rows, docs, q, v, 1 << 20) for q, v in ((dense, "okapi"), (sparse, "plus"), (sparse, "l"), (sparse, "adpt"), (dense, "compact"))]
     cases += [("bigint", rows, docs, dense, "okapi", 5), ("bigint", rows, docs, sparse, "okapi", 5)]
     cases += [("string", [(q and f"q{q}", t) for q, t in rows], docs, dense, "okapi", 5), ("double", [(q and float(q), t) for q, t in rows], docs, sparse, "okapi", 5)]
     cases += [("int", rows[3:6], docs, dense, "okapi", 5), ("int", rows[3:6], docs, sparse, "okapi", 5), ("bigint", rows, docs.unionAll(docs.limit(2)), dense, "okapi", 5)]
@@ -518,7 +518,7 @@ def test_batches_score_documents_in_their_rows(spark, monkeypatch):
         tables = ix.Index(index.postings, index.doc_stats)
         assert results(index, asked, query, Scoring(variant)) == results(tables, asked, query, Scoring(variant)), (kind, variant, cells)
     asked = spark.createDataFrame(rows, "query_id bigint, text string")
-    for query in (dense,):
+    for query in (dense, sparse):
         plan = query(search.Searcher(ix.index_text(docs)), asked)._jdf.queryExecution().toString()
         assert "Exchange" not in plan and "Join" not in plan
 
