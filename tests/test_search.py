@@ -554,7 +554,7 @@ def test_words_are_cut_in_bytes():
                 assert got == expected
 
 
-@pytest.mark.parametrize("variant", ["compact", "adpt"])
+@pytest.mark.parametrize("variant", ["compact", "adpt", "l"])
 def test_a_search_makes_no_rows_of_tokens(spark, monkeypatch, variant):
     """Texts that are cut by the core tokenizer are counted in their bytes; other tokenizers go on as before."""
     from sparklex.functions.tokenize import cased_tokens, core_tokens
