@@ -554,7 +554,7 @@ def test_words_are_cut_in_bytes():
                 assert got == expected
 
 
-@pytest.mark.parametrize("variant", ["compact", "adpt", "l"])
+@pytest.mark.parametrize("variant", ["compact", "adpt", "l", "okapi"])
 def test_a_search_makes_no_rows_of_tokens(spark, monkeypatch, variant):
     """Texts that are cut by the core tokenizer are counted in their bytes; other tokenizers go on as before."""
     from sparklex.functions.tokenize import cased_tokens, core_tokens
@@ -566,10 +566,10 @@ def test_a_search_makes_no_rows_of_tokens(spark, monkeypatch, variant):
     for tokenize in (core_tokens, cased_tokens, Analyzer.of(lowercase=False), Tokenizer("whitespace")):
         index = ix.index_text(docs, tokenize)
         tables = ix.Index(index.postings, index.doc_stats)
-        plain[tokenize] = index, [tuple(r) for r in Searcher(tables, Scoring(variant), tokenize).top_n(ASK + " MOOR", 7).collect()]
+        plain[tokenize] = index, [tuple(r) for r in Searcher(tables, Scoring(variant, epsilon=2.0), tokenize).top_n(ASK + " MOOR", 7).collect()]
     *core, (other, _) = plain.items()
     monkeypatch.setattr(ix, "forward_rows", lambda *a: pytest.fail("tokens became rows"))
     for tokenize, (index, expected) in core:
-        assert [tuple(r) for r in Searcher(index, Scoring(variant), tokenize).top_n(ASK + " MOOR", 7).collect()] == expected
+        assert [tuple(r) for r in Searcher(index, Scoring(variant, epsilon=2.0), tokenize).top_n(ASK + " MOOR", 7).collect()] == expected
     with pytest.raises(pytest.fail.Exception):
-        Searcher(plain[other][0], Scoring(variant), other).top_n(ASK, 7)
+        Searcher(plain[other][0], Scoring(variant, epsilon=2.0), other).top_n(ASK, 7)
