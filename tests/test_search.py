@@ -573,3 +573,17 @@ def test_a_search_makes_no_rows_of_tokens(spark, monkeypatch, variant):
         assert [tuple(r) for r in Searcher(index, Scoring(variant, epsilon=2.0), tokenize).top_n(ASK + " MOOR", 7).collect()] == expected
     with pytest.raises(pytest.fail.Exception):
         Searcher(plain[other][0], Scoring(variant, epsilon=2.0), other).top_n(ASK, 7)
+
+
+def test_row_pointers_shuffle_counts_only(spark):
+    """Ends of the rows of a sparse matrix are counted without a shuffle of its entries; queries without a match have a row."""
+    import re
+
+    from sparklex.operators import index as ix
+    from sparklex.operators.search import Searcher
+
+    index = ix.index_text(spark.createDataFrame(list(enumerate(CORPUS)), "doc_id bigint, text string").coalesce(1))
+    asked = spark.createDataFrame([(0, ASK), (1, "absent"), (2, "kite string")], "query_id bigint, text string").coalesce(1)
+    ends = codec.row_pointers(Searcher(index).batch(asked), asked)
+    assert sorted(map(tuple, ends.collect())) == [(0, 3), (1, 3), (2, 4)]
+    assert not re.search(r"hashpartitioning\([^)]*doc_id", ends._jdf.queryExecution().toString())
