@@ -587,3 +587,22 @@ def test_row_pointers_shuffle_counts_only(spark):
     ends = codec.row_pointers(Searcher(index).batch(asked), asked)
     assert sorted(map(tuple, ends.collect())) == [(0, 3), (1, 3), (2, 4)]
     assert not re.search(r"hashpartitioning\([^)]*doc_id", ends._jdf.queryExecution().toString())
+
+
+def test_row_pointers_make_no_matrix(spark, monkeypatch):
+    """Entries are counted where documents are scored: no row of the sparse matrix leaves a task only to be counted."""
+    from sparklex.operators import index as ix
+    from sparklex.operators import search
+    from sparklex.plans.queries import QUERIES
+
+    plan = QUERIES["okapi_batch_indptr"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "score#" not in plan
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate([*CORPUS, None, "moor " * 300])], "doc_id bigint, text string").coalesce(1)
+    rows = [(7, ASK), (1, "kite on a string"), (7, "field"), (2, "absent"), (9, ""), (4, None), (None, "moor")]
+    monkeypatch.setattr(search, "CELLS", 5)
+    for kind, given, corpus in (("bigint", rows, docs), ("double", [(q and float(q), t) for q, t in rows], docs), ("int", rows[3:6], docs), ("bigint", rows, docs.unionAll(docs.limit(2)))):
+        asked = spark.createDataFrame(given, f"query_id {kind}, text string").coalesce(1)
+        searcher = search.Searcher(ix.index_text(corpus))
+        ends = codec.row_ends(searcher.batch_counts(asked), asked)
+        expected = codec.row_pointers(searcher.batch(asked), asked)
+        assert ends.dtypes == expected.dtypes and sorted(map(repr, ends.collect())) == sorted(map(repr, expected.collect())), kind
